@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from functools import partial
+
+from .plans import datasets, metrics, pairs, ranking, temporal, text
+from .plans.dialect import DUCK, plans, run
+
+FLAGSHIP = "slot_asof"
+MODULES = (temporal, text, pairs, ranking, metrics, datasets)
 
 
 def queries() -> dict:
-    return {}
+    return {name: partial(run, statement=p) for name, p in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: p(DUCK) for name, p in plans().items()}
