@@ -58,7 +58,7 @@ def anchors(d, x: str) -> str:
 
 def jaccard(d, a: str, b: str) -> str:
     inter = f"CAST({d.n(d.both(a, b))} AS DOUBLE)"
-    return f"CASE WHEN {d.n(a)} = 0 OR {d.n(b)} = 0 THEN 0.0 ELSE {inter} / ({d.n(a)} + {d.n(b)} - {d.n(d.both(a, b))}) END"
+    return f"CASE WHEN {d.n(a)} = 0 OR {d.n(b)} = 0 THEN 0e0 ELSE {inter} / ({d.n(a)} + {d.n(b)} - {d.n(d.both(a, b))}) END"
 
 
 def directive(d, x: str) -> str:

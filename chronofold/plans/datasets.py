@@ -88,7 +88,7 @@ def replaces_ancestors(d):
 def scenario_violations(d):
     return f"""WITH {said()}, {asked()}, o AS (SELECT bank, ord, CAST(day AS DATE) AS day, lag(CAST(day AS DATE)) OVER (PARTITION BY bank ORDER BY ord) AS before FROM said)
       SELECT 'dates_go_back' AS rule, CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ref FROM o WHERE day < before UNION ALL SELECT 'answer_after_question', CAST(q.bank AS BIGINT), CAST(q.qid AS BIGINT) FROM asked q JOIN said s ON s.bank = q.bank AND s.ord = q.answer WHERE CAST(s.day AS DATE) > CAST(q.day AS DATE)
-      UNION ALL SELECT 'answer_missing', CAST(q.bank AS BIGINT), CAST(q.qid AS BIGINT) FROM asked q LEFT JOIN said s ON s.bank = q.bank AND s.ord = q.answer WHERE s.ord IS NULL UNION ALL SELECT 'event_repeats', max(user_id), max(event_id) FROM events GROUP BY event_id HAVING count(*) > 1"""
+      UNION ALL SELECT 'answer_missing', CAST(q.bank AS BIGINT), CAST(q.qid AS BIGINT) FROM asked q LEFT JOIN said s ON s.bank = q.bank AND s.ord = q.answer WHERE s.ord IS NULL UNION ALL SELECT 'too_long', CAST(bank AS BIGINT), CAST(ord AS BIGINT) FROM said WHERE length(text) > 40 UNION ALL SELECT 'event_repeats', max(user_id), max(event_id) FROM events GROUP BY event_id HAVING count(*) > 1"""
 
 
 @plan
@@ -101,7 +101,7 @@ def reconcile_answers(d):
 @plan
 def template_copies(d):
     """Masked sentences that more than two documents share."""
-    masked = d.sub("lower(x)" if False else "w", "[A-Z][a-z]+", "X")
+    masked = d.sub("w", "[A-Z][a-z]+", "X")
     return f"WITH s AS (SELECT doc_id, w FROM documents {d.explode(d.slice(d.split('text', '[.] *'), 1, 3), 'w')}), m AS (SELECT md5({masked}) AS h, doc_id FROM s WHERE length(w) >= 15) SELECT h, count(DISTINCT doc_id) AS docs FROM m GROUP BY h HAVING count(DISTINCT doc_id) > 2"
 
 

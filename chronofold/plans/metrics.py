@@ -7,7 +7,7 @@ from .dialect import plan
 from .pairs import VOTES, bridge
 from .ranking import lexical, semantic
 
-PRED = """pred AS (SELECT doc_id, CAST(quality AS BIGINT) AS y, CAST(toxic AS BIGINT) AS hard, round(((doc_id * 37) % 100 + 60 * quality) / 160.0, 4) AS p, round(((doc_id * 61) % 100 + 40 * quality) / 140.0, 4) AS q FROM labels)"""
+PRED = """pred AS (SELECT doc_id, CAST(quality AS BIGINT) AS y, CAST(toxic AS BIGINT) AS hard, round(((doc_id * 37) % 100 + 60 * quality) / 16e1, 4) AS p, round(((doc_id * 61) % 100 + 40 * quality) / 14e1, 4) AS q FROM labels)"""
 
 
 def graded(d) -> str:
@@ -19,7 +19,7 @@ def graded(d) -> str:
 @plan
 def topk_metrics(d):
     """Top-1, top-3 and recall at 10 per question type and for all: one rollup."""
-    avg = lambda k: f"round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0.0 END), 6)"
+    avg = lambda k: f"round(avg(CASE WHEN r <= {k} THEN 1e0 ELSE 0e0 END), 6)"
     return f"WITH {graded(d)} SELECT coalesce(type, 'all') AS type, count(*) AS n, {avg(1)} AS top1, {avg(3)} AS top3, {avg(10)} AS recall10 FROM graded GROUP BY ROLLUP (type)"
 
 
@@ -28,7 +28,7 @@ def multi_recall(d):
     """All parts of an order among its customer's first k + 2 parts; the share found; empty answers."""
     return f"""WITH w AS (SELECT l_orderkey AS id, l_partkey AS part FROM lineitem WHERE l_orderkey % 100 = 0), got AS (SELECT id, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY part) AS k FROM w) x WHERE k <= 3),
       s AS (SELECT w.id, count(DISTINCT w.part) AS wanted, count(DISTINCT got.part) AS found FROM w LEFT JOIN got ON got.id = w.id AND got.part = w.part GROUP BY w.id)
-      SELECT count(*) AS n, round(avg(CASE WHEN found = wanted THEN 1.0 ELSE 0.0 END), 6) AS all_found, round(avg(CAST(found AS DOUBLE) / wanted), 6) AS share, sum(CASE WHEN found = 0 THEN 1 ELSE 0 END) AS empty FROM s"""
+      SELECT count(*) AS n, round(avg(CASE WHEN found = wanted THEN 1e0 ELSE 0e0 END), 6) AS all_found, round(avg(CAST(found AS DOUBLE) / wanted), 6) AS share, sum(CASE WHEN found = 0 THEN 1 ELSE 0 END) AS empty FROM s"""
 
 
 @plan
@@ -109,20 +109,20 @@ def majority_vote(d):
 @plan
 def agreement_rates(d):
     return f"""WITH {VOTES}, m AS (SELECT item, max(CASE WHEN who = 'w' THEN v END) AS w, max(CASE WHEN who = 'a' THEN v END) AS a, max(CASE WHEN who = 'b' THEN v END) AS b FROM (SELECT item, who, CASE folder WHEN 'house' THEN 'home' WHEN 'flat' THEN 'home' WHEN 'job' THEN 'work' WHEN 'animals' THEN 'pets' ELSE folder END AS v FROM votes) x GROUP BY item)
-      SELECT round(avg(CASE WHEN w = a THEN 1.0 ELSE 0.0 END), 6) AS writer_a, round(avg(CASE WHEN w = b THEN 1.0 ELSE 0.0 END), 6) AS writer_b, round(avg(CASE WHEN w = a AND a = b THEN 1.0 ELSE 0.0 END), 6) AS all_three, round(avg(CASE WHEN w = a OR w = b OR a = b THEN 1.0 ELSE 0.0 END), 6) AS two_of_three FROM m"""
+      SELECT round(avg(CASE WHEN w = a THEN 1e0 ELSE 0e0 END), 6) AS writer_a, round(avg(CASE WHEN w = b THEN 1e0 ELSE 0e0 END), 6) AS writer_b, round(avg(CASE WHEN w = a AND a = b THEN 1e0 ELSE 0e0 END), 6) AS all_three, round(avg(CASE WHEN w = a OR w = b OR a = b THEN 1e0 ELSE 0e0 END), 6) AS two_of_three FROM m"""
 
 
 @plan
 def candidate_reach(d):
     """Of the true replacements, how many are among a bank's last k facts of the slot, and how large that set is."""
     return f"""WITH {facts(d)}, n AS (SELECT id, bank, row_number() OVER (PARTITION BY bank ORDER BY created_at, id) AS k FROM facts), e AS (SELECT o.k AS old_k, s.k AS new_k FROM facts f JOIN n o ON o.id = f.id JOIN n s ON s.id = f.superseded_by)
-      SELECT b.k AS k, round(avg(CASE WHEN e.new_k - e.old_k <= b.k THEN 1.0 ELSE 0.0 END), 6) AS reach, round(avg(CAST(least(b.k, e.new_k - 1) AS DOUBLE)), 6) AS size FROM e CROSS JOIN (SELECT i AS k FROM (SELECT 1 AS one) s {d.explode(d.series(1, 15), 'i')}) b GROUP BY b.k"""
+      SELECT b.k AS k, round(avg(CASE WHEN e.new_k - e.old_k <= b.k THEN 1e0 ELSE 0e0 END), 6) AS reach, round(avg(CAST(least(b.k, e.new_k - 1) AS DOUBLE)), 6) AS size FROM e CROSS JOIN (SELECT i AS k FROM (SELECT 1 AS one) s {d.explode(d.series(1, 15), 'i')}) b GROUP BY b.k"""
 
 
 @plan
 def changes_budget_curve(d):
     return f"""WITH {facts(d)}, n AS (SELECT id, row_number() OVER (PARTITION BY bank ORDER BY created_at, id) AS k FROM facts), e AS (SELECT s.k - o.k AS dist FROM facts f JOIN n o ON o.id = f.id JOIN n s ON s.id = f.superseded_by)
-      SELECT count(*) AS n, round(avg(CASE WHEN dist <= 1 THEN 1.0 ELSE 0.0 END), 6) AS b1, round(avg(CASE WHEN dist <= 3 THEN 1.0 ELSE 0.0 END), 6) AS b3, round(avg(CASE WHEN dist <= 5 THEN 1.0 ELSE 0.0 END), 6) AS b5, round(avg(CASE WHEN dist <= 10 THEN 1.0 ELSE 0.0 END), 6) AS b10, round(avg(CASE WHEN dist <= 15 THEN 1.0 ELSE 0.0 END), 6) AS b15 FROM e"""
+      SELECT count(*) AS n, round(avg(CASE WHEN dist <= 1 THEN 1e0 ELSE 0e0 END), 6) AS b1, round(avg(CASE WHEN dist <= 3 THEN 1e0 ELSE 0e0 END), 6) AS b3, round(avg(CASE WHEN dist <= 5 THEN 1e0 ELSE 0e0 END), 6) AS b5, round(avg(CASE WHEN dist <= 10 THEN 1e0 ELSE 0e0 END), 6) AS b10, round(avg(CASE WHEN dist <= 15 THEN 1e0 ELSE 0e0 END), 6) AS b15 FROM e"""
 
 
 @plan
@@ -130,7 +130,7 @@ def bundle_coverage(d):
     """Share of questions whose gold turn lies within a token budget, by budget and type."""
     return f"""WITH {graded(d)}, c AS (SELECT s.conv_id, s.question, s.turn, sum(ceil(length(t.text) / 4.0)) OVER (PARTITION BY s.conv_id, s.question ORDER BY s.r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM sem s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn),
       b AS (SELECT i * 150 AS budget FROM (SELECT 1 AS one) s {d.explode(d.series(1, 4), 'i')}), j AS (SELECT g.type, c.spent FROM gold g LEFT JOIN c ON c.conv_id = g.conv_id AND c.question = g.question AND c.turn = g.turn)
-      SELECT b.budget, j.type, round(avg(CASE WHEN j.spent <= b.budget THEN 1.0 ELSE 0.0 END), 6) AS covered FROM j CROSS JOIN b GROUP BY b.budget, j.type"""
+      SELECT b.budget, j.type, round(avg(CASE WHEN j.spent <= b.budget THEN 1e0 ELSE 0e0 END), 6) AS covered FROM j CROSS JOIN b GROUP BY b.budget, j.type"""
 
 
 @plan
@@ -148,13 +148,13 @@ def identity_confusion(d):
 @plan
 def regression_gate(d):
     """Types whose rate fell by more than two points against the baseline half of the month."""
-    return f"""WITH r AS (SELECT event_type, avg(CASE WHEN ts < {d.ts('2024-01-16 00:00:00')} AND value > 50 THEN 1.0 WHEN ts < {d.ts('2024-01-16 00:00:00')} THEN 0.0 END) AS base, avg(CASE WHEN ts >= {d.ts('2024-01-16 00:00:00')} AND value > 50 THEN 1.0 WHEN ts >= {d.ts('2024-01-16 00:00:00')} THEN 0.0 END) AS now FROM events GROUP BY event_type)
+    return f"""WITH r AS (SELECT event_type, avg(CASE WHEN ts < {d.ts('2024-01-16 00:00:00')} AND value > 50 THEN 1e0 WHEN ts < {d.ts('2024-01-16 00:00:00')} THEN 0e0 END) AS base, avg(CASE WHEN ts >= {d.ts('2024-01-16 00:00:00')} AND value > 50 THEN 1e0 WHEN ts >= {d.ts('2024-01-16 00:00:00')} THEN 0e0 END) AS now FROM events GROUP BY event_type)
       SELECT event_type, round(base, 6) AS base, round(now, 6) AS now, CASE WHEN now < base - 0.02 THEN 1 ELSE 0 END AS failed FROM r"""
 
 
 @plan
 def verdict_histogram(d):
-    return """SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS user_turns, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS assistant_turns, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS system_turns, round(avg(ceil(length(text) / 4.0)), 6) AS tokens FROM conversations GROUP BY conv_id"""
+    return """SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS user_turns, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS assistant_turns, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS system_turns, round(avg(CAST(ceil(length(text) / 4.0) AS DOUBLE)), 6) AS tokens FROM conversations GROUP BY conv_id"""
 
 
 @plan

@@ -55,7 +55,7 @@ def vec_normalise(d):
 def fused(d) -> str:
     """Reciprocal ranks of trusted lexical and semantic hits; ties by lexical, then semantic rank."""
     return f"""{lexical(d)}, {semantic(d)}, trusted AS (SELECT conv_id, question, turn, row_number() OVER (PARTITION BY conv_id, question ORDER BY r) AS r FROM lex WHERE coverage >= 0.1),
-      merged AS (SELECT coalesce(l.conv_id, s.conv_id) AS conv_id, coalesce(l.question, s.question) AS question, coalesce(l.turn, s.turn) AS turn, l.r AS lr, s.r AS sr, round(coalesce(1.0 / (60 + l.r), 0) + coalesce(1.0 / (60 + s.r), 0), 12) AS score
+      merged AS (SELECT coalesce(l.conv_id, s.conv_id) AS conv_id, coalesce(l.question, s.question) AS question, coalesce(l.turn, s.turn) AS turn, l.r AS lr, s.r AS sr, round(coalesce(1e0 / (60 + l.r), 0) + coalesce(1e0 / (60 + s.r), 0), 12) AS score
         FROM trusted l FULL OUTER JOIN sem s ON l.conv_id = s.conv_id AND l.question = s.question AND l.turn = s.turn),
       rest AS (SELECT l.conv_id, l.question, l.turn, l.r FROM lex l LEFT JOIN merged m ON m.conv_id = l.conv_id AND m.question = l.question AND m.turn = l.turn WHERE m.turn IS NULL),
       placed AS (SELECT conv_id, question, turn, 0 AS grp, score, coalesce(lr, 999999) AS a, coalesce(sr, 999999) AS b FROM merged UNION ALL SELECT conv_id, question, turn, 1 AS grp, CAST(0 AS DOUBLE) AS score, r AS a, 0 AS b FROM rest),
@@ -80,7 +80,7 @@ def hybrid_search(d):
 def rrf_two_orderings(d):
     """Both orderings are whole and ranks start at zero."""
     return """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) - 1 AS b FROM documents),
-      s AS (SELECT doc_id, lang, round(1.0 / (60 + a) + 1.0 / (60 + b), 12) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS k FROM s) SELECT lang, doc_id, CAST(k AS BIGINT) AS k FROM k WHERE k <= 20"""
+      s AS (SELECT doc_id, lang, round(1.0 / (60 + a) + 1e0 / (60 + b), 12) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS k FROM s) SELECT lang, doc_id, CAST(k AS BIGINT) AS k FROM k WHERE k <= 20"""
 
 
 def prompt(d, limit: int = 5) -> str:
@@ -177,7 +177,7 @@ def pad_store(d):
 @plan
 def training_rows(d):
     """Soft targets: the gold class gets what the four others leave."""
-    return f"WITH {said()}, {features(d)} SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 1.0 ELSE 0.0 END AS replaces, CASE WHEN n.topic = o.topic THEN 0.0 ELSE 0.25 END AS each_other FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord"
+    return f"WITH {said()}, {features(d)} SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 1e0 ELSE 0e0 END AS replaces, CASE WHEN n.topic = o.topic THEN 0e0 ELSE 25e-2 END AS each_other FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord"
 
 
 @plan
