@@ -1,13 +1,16 @@
 """SimHash near-dedup with vantage-point trees over Hamming distance.
 
-The 64-bit fingerprint is cut into four blocks of 16 bits. Two fingerprints at most 4 bits apart differ
-by at most one bit in some block (4 differences over 4 blocks), so one vantage-point tree per block,
-searched with radius 1, reaches every pair; a pair met is verified on all 64 bits. A tree's nodes hold
-a vantage value and a median radius fitted on a bounded sample of fingerprints; every fingerprint is
-then routed to its home leaf and, by the triangle bounds, to the leaves whose region its ball overlaps.
-A leaf is a shard: homes are compared with homes and with the boundary visitors of lower leaves, so each
-pair meets once per tree. A shard that is still large is cut further by local vantage points on the whole
-fingerprint. Shards give back a spanning forest of their links, not the pairs.
+A fingerprint has one or more 64-bit words; each word is cut into four blocks of 16 bits. With one word, two
+fingerprints at most 4 bits apart differ by at most one bit in some block (4 differences over 4 blocks), so
+one vantage-point tree per block, searched with radius 1, reaches every pair. A tree's nodes hold a vantage
+value and a median radius fitted on a bounded sample of fingerprints; every fingerprint is routed to its
+home leaf and, by the triangle bounds, to the leaves that its ball overlaps. A leaf is a shard: homes are
+compared with homes and with the boundary visitors of lower leaves, so each pair meets once per tree, and
+each pair met is verified on all bits. A shard that is large is cut further by local vantage points. Shards
+give back a spanning forest of their links, not the pairs.
+
+For a similarity threshold below what 4 bits of 64 mean, ``similar_groups`` takes fingerprints of eight
+words over the set of shingles, whose distance estimates the Jaccard similarity, and trees over 16 blocks.
 """
 
 from __future__ import annotations
@@ -26,13 +29,16 @@ from .components import connected_components
 from .embed_dedup import _forest
 
 SEED = 42
-BITS, BLOCKS = 64, 4
+BITS, WIDTH = 64, 16
 #: Fingerprints on which vantage points and medians are fitted, at most.
 SAMPLE = 8192
 #: Distinct fingerprints a leaf is meant to be home of.
-LEAF = 2048
+LEAF = 16384
 #: Comparisons a shard makes directly; above it is split by local vantage points.
-DIRECT = 1 << 25
+DIRECT = 1 << 26
+#: Words, and blocks with a tree, of the wide fingerprint; bits apart at which its similarity estimate is 0.77,
+#: so that few pairs of 0.8 and more are lost to its spread of 8 bits.
+WIDE_WORDS, WIDE_TREES, WIDE_LIMIT = 8, 16, 86
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,34 +54,53 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The unsigned SimHash of a text's word shingles; zero for a null text or one without words."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(parts)
     if len(parts) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-        begins = np.r_[0, ends[:-1] + 1]
-        digest = xxhash.xxh64_intdigest
-        spans = zip(begins[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(parts) - words + 1)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
+    begins = np.r_[0, ends[:-1] + 1]
+    digest = xxhash.xxh64_intdigest
+    spans = zip(begins[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(parts) - words + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
     bits = (2 * _bit_counts(hashes) > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(id, fp)`` for every row; fp is the fingerprint as a signed long."""
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; zero for a null text or one without words."""
+    return _majority(_shingle_hashes(text, words))
+
+
+def wide_fingerprint(text: str | None, words: int, size: int) -> bytes:
+    """``size`` words over the set of shingles, each from a hash of its own derived from the shingle's."""
+    h = np.unique(_shingle_hashes(text, words))
+    out = []
+    for k in range(size):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return np.array(out, dtype=">u8").tobytes()
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, size: int = 1) -> DataFrame:
+    """``(id, fp)`` for every row; fp has ``size`` big-endian words: one is the SimHash, more are the wide form."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
+            fp = [fingerprint(t, words).to_bytes(8, "big") if size == 1 else wide_fingerprint(t, words, size) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp binary")
 
 
 class VantageTree:
@@ -112,84 +137,110 @@ class VantageTree:
         return row, node, node == home[row]
 
 
-def _pairs(home: np.ndarray, visit: np.ndarray, limit: int, depth: int = 0):
-    """Index pairs at most ``limit`` bits apart: home with home (once) and home with visitors. Yields arrays."""
+def _pairs(home: np.ndarray, visit: np.ndarray, reach: int, depth: int = 0):
+    """Index pairs of block values at most ``reach`` bits apart: home with home (once), home with visitors."""
     work = len(home) * (len(home) // 2 + len(visit))
     if work > DIRECT and depth < 24:
-        rng = np.random.default_rng(depth)
-        point = home[rng.integers(len(home))]
+        point = home[np.random.default_rng(depth).integers(len(home))]
         far, vis = np.bitwise_count(home ^ point).astype(np.int64), np.bitwise_count(visit ^ point).astype(np.int64)
         mid = int(np.median(far))
         near, rest = np.flatnonzero(far <= mid), np.flatnonzero(far > mid)
         if len(near) and len(rest):
             # pairs inside the near side, its boundary with the far side, and inside the far side
-            edge = rest[far[rest] <= mid + limit]
-            low, high = np.flatnonzero(vis <= mid + limit), np.flatnonzero(vis > mid - limit)
-            for a, b in _pairs(home[near], np.r_[home[edge], visit[low]], limit, depth + 1):
-                yield near[a], np.where(b < len(near), near[np.minimum(b, len(near) - 1)], np.r_[near, edge, low + len(home)][b])
-            for a, b in _pairs(home[rest], visit[high], limit, depth + 1):
-                yield rest[a], np.r_[rest, high + len(home)][b]
+            edge = rest[far[rest] <= mid + reach]
+            low, high = np.flatnonzero(vis <= mid + reach), np.flatnonzero(vis > mid - reach)
+            at = np.r_[near, edge, low + len(home)]
+            for a, b in _pairs(home[near], np.r_[home[edge], visit[low]], reach, depth + 1):
+                yield near[a], at[b]
+            at = np.r_[rest, high + len(home)]
+            for a, b in _pairs(home[rest], visit[high], reach, depth + 1):
+                yield rest[a], at[b]
             return
     everyone = np.r_[home, visit]
-    step = max(1, (1 << 21) // max(1, len(everyone)))
+    step = max(1, (1 << 22) // max(1, len(everyone)))
     for at in range(0, len(home), step):
-        a, b = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ everyone[None, at:]) <= limit)
-        a, b = a + at, b + at
+        a, b = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ everyone[None, at:]) <= reach)
         keep = a < b
         if keep.any():
-            yield a[keep], b[keep]
+            yield a[keep] + at, b[keep] + at
 
 
-def _shard(fp: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (pairs of fingerprints) of one shard's links."""
-    values = np.r_[fp[home], fp[~home]]
-    label = np.arange(len(values))
+def _shard(words: np.ndarray, block: np.ndarray, home: np.ndarray, reach: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (pairs of row numbers) of one shard's verified links."""
+    order = np.r_[np.flatnonzero(home), np.flatnonzero(~home)]
+    words, block, many = words[order], block[order], int(home.sum())
+    label = np.arange(len(order))
     out_a, out_b = [], []
-    for a, b in _pairs(fp[home], fp[~home], limit):
-        node, root = _forest(len(values), label[a], label[b])
+    for a, b in _pairs(block[:many], block[many:], reach):
+        apart = label[a] != label[b]  # what is joined already needs no proof
+        a, b = a[apart], b[apart]
+        far = np.zeros(len(a), dtype=np.int64)
+        for k in range(words.shape[1]):
+            far += np.bitwise_count(words[a, k] ^ words[b, k])
+        a, b = a[far <= limit], b[far <= limit]
+        node, root = _forest(len(order), label[a], label[b])
         if len(node):
-            out_a.append(values[node])
-            out_b.append(values[root])
-            move = np.arange(len(values))
+            out_a.append(order[node])
+            out_b.append(order[root])
+            move = np.arange(len(order))
             move[node] = root
             label = move[label]
     if not out_a:
-        return values[:0], values[:0]
+        return order[:0], order[:0]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def hamming_links(prints: DataFrame, limit: int = 4) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly the parts that pairs of distinct ``fp`` within ``limit`` bits connect.
+def hamming_links(prints: DataFrame, limit: int, trees: int = 4, reach: int | None = None) -> DataFrame:
+    """Edges ``(a, b)`` of nodes that connect the parts which pairs within ``limit`` bits connect.
 
-    ``prints`` has one row for each distinct fingerprint ``fp``; ``limit`` is 0 to 63.
+    ``prints(node, fp)`` has one row for each distinct fingerprint. Every pair is reached if ``reach`` is at
+    least limit // trees (its default), as some block then differs by no more than that.
     """
-    reach, width = limit // BLOCKS, BITS // BLOCKS
+    reach = limit // trees if reach is None else reach
     total = prints.count()
     depth = max(0, math.ceil(math.log2(max(1, total) / LEAF)))
     sample = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    known = np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64)
-    mask = np.uint64((1 << width) - 1)
-    trees = [VantageTree((known >> np.uint64(width * k)) & mask, depth, width, SEED + k) for k in range(BLOCKS)]
+    mask = np.uint64((1 << WIDTH) - 1)
+
+    def unpack(column) -> np.ndarray:
+        words = np.frombuffer(b"".join(column), dtype=">u8").astype(np.uint64)
+        return words.reshape(len(column), -1)
+
+    def block(words: np.ndarray, tree: int) -> np.ndarray:
+        return ((words[:, tree // 4] >> np.uint64(WIDTH * (tree % 4))) & mask).astype(np.uint16)
+
+    known = unpack([bytes(r["fp"]) for r in sample]) if sample else np.zeros((0, max(1, trees // 4)), np.uint64)
+    forest = [VantageTree(block(known, k), depth, WIDTH, SEED + k) for k in range(trees)]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy(dtype=np.int64)
-            for k, tree in enumerate(trees):
-                row, node, home = tree.route((fp.view(np.uint64) >> np.uint64(width * k)) & mask, reach)
-                yield pd.DataFrame({"leaf": node * BLOCKS + k, "fp": fp[row], "home": home})
+            words, nodes, fp = unpack(pdf["fp"]), pdf["node"].to_numpy(), pdf["fp"].to_numpy()
+            for k, tree in enumerate(forest):
+                row, leaf, home = tree.route(block(words, k), reach)
+                yield pd.DataFrame({"leaf": leaf * trees + k, "node": nodes[row], "fp": fp[row], "home": home})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf["fp"].to_numpy(), kind="stable")
-        fp, home = pdf["fp"].to_numpy(dtype=np.int64)[order], pdf["home"].to_numpy(dtype=bool)[order]
-        a, b = _shard(fp.view(np.uint64), home, limit)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        pdf = pdf.sort_values("node", kind="stable")
+        words, nodes = unpack(pdf["fp"]), pdf["node"].to_numpy(dtype=np.int64)
+        a, b = _shard(words, block(words, int(pdf["leaf"].iloc[0]) % trees), pdf["home"].to_numpy(dtype=bool), reach, limit)
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
-    routed = prints.select("fp").mapInPandas(route, "leaf long, fp long, home boolean")
+    routed = prints.select("node", "fp").mapInPandas(route, "leaf long, node long, fp binary, home boolean")
     return routed.groupBy("leaf").applyInPandas(join, "a long, b long")
 
 
+def _grouped(docs: DataFrame, node, limit: int, trees: int, reach: int | None) -> DataFrame:
+    """``id, fp, component_id`` for every row of ``docs(id, fp)``."""
+    groups = materialise(docs.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", node), "simhash-groups")
+    comps = connected_components(hamming_links(groups, limit, trees, reach), "simhash-components")
+    placed = groups.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("joint"))
+    named = placed.join(least, "component", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
+    return docs.join(named, "fp").select("id", "fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4) -> DataFrame:
-    """Group documents whose SimHash fingerprints link at ``limit`` or fewer differing bits.
+    """Group documents whose 64-bit SimHash fingerprints link at ``limit`` or fewer differing bits; exact.
 
     Returns ``id_col``, ``fingerprint`` (16 lowercase hex digits) and ``component_id`` (smallest id
     reachable, itself included), one row per input row. Null, empty and word-less texts have fingerprint
@@ -198,10 +249,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty result; further columns are ignored.
     """
     docs = materialise(fingerprints(df, id_col, text_col, words), "simhash-docs")
-    groups = materialise(docs.groupBy("fp").agg(F.min("id").alias("least")), "simhash-groups")
-    comps = connected_components(hamming_links(groups, limit), "simhash-components")
-    placed = groups.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = placed.where("component is not null").groupBy("root").agg(F.min("least").alias("joint"))
-    named = placed.join(least, "root", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    return docs.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    node = F.conv(F.hex("fp"), 16, -10).cast("long")
+    return _grouped(docs, node, limit, 4, None).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """Group documents whose shingle sets have an estimated Jaccard similarity of about 0.8 or more.
+
+    The estimate is cos(pi * distance / bits), turned into a Jaccard similarity, on ``WIDE_WORDS`` 64-bit
+    words (spread: 8 bits of 512). Trees over ``WIDE_TREES`` blocks, searched with radius 1, reach a pair at
+    the threshold with probability 0.99 and closer pairs with more. Returns ``id_col`` and ``component_id``;
+    the other rules are those of ``near_duplicates``.
+    """
+    docs = materialise(fingerprints(df, id_col, text_col, words, WIDE_WORDS), "simhash-docs")
+    node = F.coalesce("least", F.xxhash64("fp"))
+    return _grouped(docs, node, WIDE_LIMIT, WIDE_TREES, 1).select(F.col("id").alias(id_col), "component_id")

@@ -26,8 +26,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id; of its repeated rows, one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), words=5, limit=4)
+    """One document of each SimHash group (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id; of its repeated rows, one."""
+    groups = simhash.similar_groups(docs.select("doc_id", "text"), words=5)
     kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-ids")
     once = docs.join(kept.where("copies = 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
     more = docs.join(kept.where("copies > 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
