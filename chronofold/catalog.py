@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from functools import partial
 
+from .operators import folds
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 
-FLAGSHIP = "slot_asof"
+FLAGSHIP = "hybrid_search"
+#: Importing these registers their plans.
 MODULES = (temporal, text, pairs, ranking, metrics, datasets)
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()}
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    """Folds have none: their result depends on the order of rows."""
     return {name: p(DUCK) for name, p in plans().items()}
