@@ -195,14 +195,8 @@ def train(patterns: dict[str, int], soft: dict[str, float]) -> np.ndarray:
     return w
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All spans of every text.
-
-    Returns one row per input row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base spans),
-    ``base_sha256`` (of the base spans as kind:start:end, comma-joined), ``spans`` (base and added ones,
-    joined likewise). Positions are code points, end exclusive. A null text is empty; texts without spans
-    have the digest of the empty string. Repeated rows are read each; an empty table gives an empty result.
-    """
+def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base spans, other candidates and all vote patterns of every text, written to the shared folder."""
     small_batches(df.sparkSession)
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,13 +215,36 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     fields = "id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, base array<string>, extra array<string>, keys array<string>"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(propose, fields)
-    docs = materialise(docs, "pii-candidates")
+    return materialise(docs, "pii-candidates")
+
+
+def accepted(found: DataFrame) -> set[str]:
+    """The vote patterns that the span classifier, trained on all candidates, takes for personal data."""
     # at most 3 ** labelers patterns for each kind
-    counted = docs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).collect()
+    counted = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).collect()
     patterns = {r["key"]: r["n"] for r in counted}
     soft, _ = estimate(patterns)
     weights = train(patterns, soft)
-    good = {k for k in patterns if 1 / (1 + np.exp(-np.clip(_features(k) @ weights, -30, 30))) >= THRESHOLD}
+    return {k for k in patterns if 1 / (1 + np.exp(-np.clip(_features(k) @ weights, -30, 30))) >= THRESHOLD}
+
+
+def spans_of(text: str | None, good: set[str]) -> str:
+    """All spans of one text: the base ones and the candidates whose pattern is accepted."""
+    base = base_spans(text)
+    more = [(a, k, b) for a, k, b in extra_candidates(text, base) if _key(k, votes(text, a, k, b)) in good]
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + more, key=lambda s: (s[0], ORDER[s[1]])))
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All spans of every text.
+
+    Returns one row per input row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base spans),
+    ``base_sha256`` (of the base spans as kind:start:end, comma-joined), ``spans`` (base and added ones,
+    joined likewise). Positions are code points, end exclusive. A null text is empty; texts without spans
+    have the digest of the empty string. Repeated rows are read each; an empty table gives an empty result.
+    """
+    docs = candidates(df, id_col, text_col)
+    good = accepted(docs)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
