@@ -29,6 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each SimHash group (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id; of its repeated rows, one."""
     groups = simhash.similar_groups(docs.select("doc_id", "text"), words=5)
     kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-ids")
+    # a merge join at every size: the kept ids grow with the documents, so they must not be broadcast
+    docs = docs.hint("merge")
     once = docs.join(kept.where("copies = 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
     more = docs.join(kept.where("copies > 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
     return once.select(*COLUMNS).unionByName(more.select(*COLUMNS).dropDuplicates(["doc_id"]))
