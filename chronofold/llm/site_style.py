@@ -121,10 +121,6 @@ def parse(page: str | None) -> Element:
     return root
 
 
-def _plain(node: Element) -> str:
-    return "".join(_plain(c) if isinstance(c, Element) else c for c in node.children) if node.tag not in DROP or node.tag not in RAW else ""
-
-
 def style_nodes(root: Element) -> dict[str, tuple[int, int]]:
     """For each element path below the body: hashes of its presentation and of its text, over all its places in the page."""
     shown: dict[str, list[str]] = {}
