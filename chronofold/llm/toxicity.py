@@ -7,13 +7,14 @@ holds the words that have such beginnings, the other the most frequent words of
 
 Scoring, on whole texts: each window (one word between spaces, after a fixed lead that both dictionaries
 know, so that short windows are not stored raw) is compressed with either dictionary. A window is toxic if
-the toxic dictionary saves at least ``gap`` bytes on it. The gap and the logistic curve from a document's
-toxic windows to its score are calibrated on the training sample.
+the toxic dictionary saves at least ``gap`` bytes on it and leaves at most ``longest``. Both bounds and the
+logistic curve from a document's toxic windows to its score are calibrated on the training sample.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,14 +23,15 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled rows of each class used for training, at most.
+#: Labelled rows of each class used for training, at most, and the characters that they may hold together. Rows are
+#: taken in hash order while they fit; the texts taken are read whole.
 MAX_DOCS = 2500
-#: Characters of one training document used, at most (training only; scoring reads whole texts).
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN_CHARS = 24_000_000
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 16384
 LEVEL = 3
 LEAD = b"\n0123456789abcdef#=window=#9876543210\n"
@@ -47,9 +49,9 @@ def _contexts(texts: list[str]) -> Counter:
     """For each word beginning the number of different words that follow it, over all texts."""
     seen: defaultdict[str, set[int]] = defaultdict(set)
     for t in texts:
-        words = _words(t[:MAX_TRAIN_CHARS])
+        words = _words(t)
         for w, after in zip(words, words[1:] + [""]):
-            mark = hash(after) & 0xFFFF
+            mark = zlib.crc32(after.encode("utf-8", "surrogatepass"))
             for k in range(SHORTEST, min(len(w), LONGEST) + 1):
                 seen[w[:k]].add(mark)
     return Counter({g: len(s) for g, s in seen.items()})
@@ -58,7 +60,7 @@ def _contexts(texts: list[str]) -> Counter:
 def _toxic_beginnings(toxic: list[str], ordinary: list[str]) -> set[str]:
     a, b = _contexts(toxic), _contexts(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    least = max(4, 0.004 * na)
+    least = max(4, 0.01 * na)
     return {g for g, n in a.items() if n >= least and n / na >= 8 * max(b[g], 0.5) / nb}
 
 
@@ -80,6 +82,7 @@ class ToxicModel:
     toxic: bytes
     ordinary: bytes
     gap: int
+    longest: int
     weights: tuple[float, float]  # intercept, slope on log(1 + toxic windows)
 
     def compressors(self):
@@ -92,28 +95,34 @@ class ToxicModel:
 
 
 class WindowScorer(dict):
-    """Bytes that the toxic dictionary saves on a word, remembered by word."""
+    """Whether a window is toxic, remembered by its word."""
 
     def __init__(self, model: ToxicModel):
         super().__init__()
+        self.gap, self.longest = model.gap, model.longest
         self.ordinary, self.toxic = model.compressors()
 
-    def __missing__(self, word: str) -> int:
+    def measure(self, word: str) -> tuple[int, int]:
+        """Bytes that the toxic dictionary saves on the word's window, and bytes that it leaves; too short a word saves none."""
         core = word.strip(EDGES)
         if len(core) < SHORTEST:
-            gain = 0
-        else:
-            window = LEAD + b" " + core.encode("utf-8", "surrogatepass") + b" "
-            gain = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+            return 0, 1 << 20
+        # the lead follows again, as a match is not looked for in the last eight bytes of an input
+        window = LEAD + b" " + core.encode("utf-8", "surrogatepass") + b" " + LEAD
+        left = len(self.toxic.compress(window))
+        return len(self.ordinary.compress(window)) - left, left
+
+    def __missing__(self, word: str) -> bool:
+        saved, left = self.measure(word)
+        toxic = saved >= self.gap and left <= self.longest
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
-            self[word] = gain
-        return gain
+            self[word] = toxic
+        return toxic
 
-    def gains(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+    def hits(self, text: str | None) -> int:
+        return sum(map(self.__getitem__, (text or "").lower().split()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -137,34 +146,38 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> To
 
     bad, good = Counter(), Counter()
     for t in toxic:
-        bad.update(w for w in _words(t[:MAX_TRAIN_CHARS]) if len(w) >= SHORTEST and marked(w))
+        bad.update(w for w in _words(t) if len(w) >= SHORTEST and marked(w))
     for t in ordinary:
-        good.update(w for w in _words(t[:MAX_TRAIN_CHARS]) if len(w) >= SHORTEST and not marked(w))
+        good.update(w for w in _words(t) if len(w) >= SHORTEST and not marked(w))
     first = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    model = ToxicModel(_dictionary(first(bad), TOXIC_BYTES), _dictionary(first(good), ORDINARY_BYTES), 1, (0.0, 0.0))
+    model = ToxicModel(_dictionary(first(bad), TOXIC_BYTES), _dictionary(first(good), ORDINARY_BYTES), 1, 1 << 16, (0.0, 0.0))
     if not toxic or not ordinary:
         p = 0.999 if toxic else 0.001
         model.weights = (math.log(p / (1 - p)), 0.0)
         return model
     scorer = WindowScorer(model)
-    gains = [scorer.gains(t[:MAX_TRAIN_CHARS]) for t in toxic + ordinary]
+    counts = [Counter(t.lower().split()) for t in toxic + ordinary]
+    measured = {w: scorer.measure(w) for w in set().union(*counts)}
+    tables = [np.array([(*measured[w], n) for w, n in c.items()], dtype=np.int64).reshape(-1, 3) for c in counts]
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     share = len(toxic) / len(y)
+    least = min(left for _, left in measured.values()) if measured else 0
     best = None
     for gap in range(1, 9):
-        x = np.log1p(np.array([(g >= gap).sum() for g in gains], dtype=float))
-        w0, w1, loss = _logistic(x, y)
-        if best is None or loss < best[0]:
-            best = (loss, gap, w0, w1)
-    _, model.gap, w0, w1 = best
+        for longest in range(least, least + 9):
+            x = np.log1p(np.array([m[(m[:, 0] >= gap) & (m[:, 1] <= longest), 2].sum() for m in tables], dtype=float))
+            w0, w1, loss = _logistic(x, y)
+            if best is None or loss < best[0]:
+                best = (loss, gap, longest, w0, w1)
+    _, model.gap, model.longest, w0, w1 = best
     if prior is not None and 0 < prior < 1:  # the sample is balanced anew
         w0 += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
     model.weights = (w0, w1)
     return model
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_col: str, label_col: str, limit: int = MAX_DOCS):
-    """Up to ``limit`` texts of each class among labelled rows that satisfy ``where``, first by hash; and the toxic share."""
+def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_col: str, label_col: str, limit: int = MAX_DOCS, chars: int = MAX_TRAIN_CHARS):
+    """Up to ``limit`` whole texts of each class, and ``chars`` characters, among labelled rows that satisfy ``where``, first by hash; and the toxic share."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).alias("y"))
              .withColumn(id_col, F.col("lid")).where(where))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -172,8 +185,12 @@ def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(limit).select("lid", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = (docs.join(chosen, docs[id_col] == chosen["lid"]).where(F.col(text_col).isNotNull())
-            .select("lid", "y", F.substring(F.col(text_col), 1, MAX_TRAIN_CHARS).alias("text")).collect())
+    known_texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["lid"]).where(F.col(text_col).isNotNull()).select("lid", "y", F.col(text_col).alias("text"))
+    # only lengths are ordered; texts that would exceed the bound are left out before anything is collected
+    so_far = F.sum("n").over(W.partitionBy("y").orderBy(F.xxhash64("lid"), "lid", "crc").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sizes = known_texts.select("lid", "y", F.length("text").cast("long").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    fits = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("lid", "crc").distinct()
+    rows = known_texts.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(F.broadcast(fits), ["lid", "crc"]).select("lid", "y", "text").collect()
     rows.sort(key=lambda r: (r["lid"], r["text"]))
     texts = {y: [r["text"] for r in rows if r["y"] == y] for y in (0, 1)}
     total = sum(counts.values())
@@ -191,7 +208,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = WindowScorer(model)
         for pdf in batches:
-            hits = np.array([(scorer.gains(t) >= model.gap).sum() for t in pdf["text"]], dtype=np.int64)
+            hits = np.array([scorer.hits(t) for t in pdf["text"]], dtype=np.int64)
             p = 1 / (1 + np.exp(-np.clip(model.weights[0] + model.weights[1] * np.log1p(hits), -30, 30)))
             yield pd.DataFrame({"id": pdf["id"], "score": p, "toxic_windows": hits})
 
