@@ -74,7 +74,7 @@ def case_map(d):
     """Headed sections of a document become numbered cases, with a layer by rule and a held-out fifth."""
     txt = f"CAST(doc_id AS {d.of('STRING', 'VARCHAR')})"
     lines = d.split("text", chr(10))
-    return f"WITH n AS (SELECT doc_id, {d.n(lines)} AS cases FROM documents WHERE lang = 'en') SELECT doc_id, i AS case_no, CASE WHEN i = 1 THEN 'opening' WHEN i = cases THEN 'closing' ELSE 'middle' END AS layer, CASE WHEN substr(md5(concat('case:', {txt})), 1, 1) IN ('0', '1', '2') THEN 1 ELSE 0 END AS held_out FROM n {d.explode(d.series(1, 'cases'), 'i')}"
+    return f"WITH n AS (SELECT doc_id, {d.n(lines)} AS cases FROM documents) SELECT doc_id, i AS case_no, CASE WHEN i = 1 THEN 'opening' WHEN i = cases THEN 'closing' ELSE 'middle' END AS layer, CASE WHEN substr(md5(concat('case:', {txt})), 1, 1) IN ('0', '1', '2') THEN 1 ELSE 0 END AS held_out FROM n {d.explode(d.series(1, 'cases'), 'i')}"
 
 
 @plan
@@ -102,7 +102,7 @@ def reconcile_answers(d):
 def template_copies(d):
     """Masked sentences that more than two documents share."""
     masked = d.sub("w", "[A-Z][a-z]+", "X")
-    return f"WITH s AS (SELECT doc_id, w FROM documents {d.explode(d.slice(d.split('text', '[.] *'), 1, 3), 'w')}), m AS (SELECT md5({masked}) AS h, doc_id FROM s WHERE length(w) >= 15) SELECT h, count(DISTINCT doc_id) AS docs FROM m GROUP BY h HAVING count(DISTINCT doc_id) > 2"
+    return f"WITH s AS (SELECT doc_id, w FROM documents {d.explode(d.split('text', '[.] *'), 'w')}), m AS (SELECT md5({masked}) AS h, doc_id FROM s WHERE length(w) >= 15) SELECT h, count(DISTINCT doc_id) AS docs FROM m GROUP BY h HAVING count(DISTINCT doc_id) > 2"
 
 
 @plan

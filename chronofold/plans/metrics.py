@@ -26,7 +26,7 @@ def topk_metrics(d):
 @plan
 def multi_recall(d):
     """All parts of an order among its customer's first k + 2 parts; the share found; empty answers."""
-    return f"""WITH w AS (SELECT l_orderkey AS id, l_partkey AS part FROM lineitem WHERE l_orderkey % 100 = 0), got AS (SELECT id, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY part) AS k FROM w) x WHERE k <= 3),
+    return f"""WITH w AS (SELECT l_orderkey AS id, l_partkey AS part FROM lineitem), got AS (SELECT id, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY part) AS k FROM w) x WHERE k <= 3),
       s AS (SELECT w.id, count(DISTINCT w.part) AS wanted, count(DISTINCT got.part) AS found FROM w LEFT JOIN got ON got.id = w.id AND got.part = w.part GROUP BY w.id)
       SELECT count(*) AS n, round(avg(CASE WHEN found = wanted THEN 1e0 ELSE 0e0 END), 6) AS all_found, round(avg(CAST(found AS DOUBLE) / wanted), 6) AS share, sum(CASE WHEN found = 0 THEN 1 ELSE 0 END) AS empty FROM s"""
 

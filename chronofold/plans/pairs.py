@@ -165,15 +165,15 @@ def alias_components(d):
 
 @plan
 def answerable_questions(d):
-    """Benchmark items all of whose first five words occur in one language's documents' titles: subset test by counting."""
-    words = d.slice(d.found("lower(text)", "[a-z0-9]+"), 1, 5)
-    return f"""WITH want AS (SELECT DISTINCT item_id, w FROM benchmark {d.explode(words, 'w')}), have AS (SELECT DISTINCT w FROM documents {d.explode(d.slice(d.found('lower(text)', '[a-z0-9]+'), 1, 40), 'w')})
+    """Benchmark items all of whose words occur in the documents: subset test by counting."""
+    words = d.found("lower(text)", "[a-z0-9]+")
+    return f"""WITH want AS (SELECT DISTINCT item_id, w FROM benchmark {d.explode(words, 'w')}), have AS (SELECT DISTINCT w FROM documents {d.explode(words, 'w')})
       SELECT want.item_id, count(*) AS wanted, count(have.w) AS got FROM want LEFT JOIN have ON want.w = have.w GROUP BY want.item_id HAVING count(*) = count(have.w)"""
 
 
 def bridge(d) -> str:
     """Orders and parts as folders: which fact lies in which folder."""
-    return "bridge AS (SELECT DISTINCT l_orderkey AS fact, l_partkey AS folder FROM lineitem WHERE l_orderkey <= 4000)"
+    return "bridge AS (SELECT DISTINCT l_orderkey AS fact, l_partkey AS folder FROM lineitem)"
 
 
 @plan
@@ -185,14 +185,14 @@ def folder_route_score(d):
 
 @plan
 def one_hop_boost(d):
-    return f"""WITH {bridge(d)}, top AS (SELECT q.fact AS question, b.fact, row_number() OVER (PARTITION BY q.fact ORDER BY b.fact) AS k FROM bridge q JOIN bridge b ON q.folder = b.folder AND b.fact <> q.fact WHERE q.fact % 100 = 0),
+    return f"""WITH {bridge(d)}, top AS (SELECT q.fact AS question, b.fact, row_number() OVER (PARTITION BY q.fact ORDER BY b.fact) AS k FROM bridge q JOIN bridge b ON q.folder = b.folder AND b.fact <> q.fact WHERE q.fact % 50 = 0),
       more AS (SELECT DISTINCT t.question, b.folder FROM top t JOIN bridge b ON b.fact = t.fact WHERE t.k <= 3 EXCEPT SELECT fact AS question, folder FROM bridge)
       SELECT m.question, b.fact, count(*) AS shared FROM more m JOIN bridge b ON b.folder = m.folder GROUP BY m.question, b.fact"""
 
 
 @plan
 def folder_cooccurrence(d):
-    return f"""WITH {bridge(d)}, c AS (SELECT a.folder, b.folder AS other, count(*) AS n FROM bridge a JOIN bridge b ON a.fact = b.fact AND a.folder <> b.folder WHERE a.folder % 40 = 0 GROUP BY a.folder, b.folder),
+    return f"""WITH {bridge(d)}, c AS (SELECT a.folder, b.folder AS other, count(*) AS n FROM bridge a JOIN bridge b ON a.fact = b.fact AND a.folder <> b.folder GROUP BY a.folder, b.folder),
       r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, other) AS k FROM c) SELECT folder, other, n FROM r WHERE k <= 3"""
 
 
