@@ -10,7 +10,9 @@ each pair met is verified on all bits. A shard that is large is cut further by l
 give back a spanning forest of their links, not the pairs.
 
 For a similarity threshold below what 4 bits of 64 mean, ``similar_groups`` takes fingerprints of eight
-words over the set of shingles, whose distance estimates the Jaccard similarity, and trees over 16 blocks.
+words over the set of shingles, whose distance estimates the Jaccard similarity, and trees over all 32
+blocks. There the fingerprints only propose: the parts that their links connect are looked through again
+with the shingle sets themselves, and only pairs of the exact similarity link.
 """
 
 from __future__ import annotations
@@ -36,9 +38,13 @@ SAMPLE = 8192
 LEAF = 16384
 #: Comparisons a shard makes directly; above it is split by local vantage points.
 DIRECT = 1 << 26
-#: Words, and blocks with a tree, of the wide fingerprint; bits apart at which its similarity estimate is 0.77,
-#: so that few pairs of 0.8 and more are lost to its spread of 8 bits.
-WIDE_WORDS, WIDE_TREES, WIDE_LIMIT = 8, 16, 86
+#: Words, and blocks with a tree, of the wide fingerprint; bits apart of a candidate pair. Sets of similarity 0.8 are
+#: 77 bits apart, 96 at worst (four shingles among five, where ties of the majority count), with a spread of 8 to 9.
+WIDE_WORDS, WIDE_TREES, WIDE_LIMIT = 8, 32, 128
+#: The exact Jaccard similarity of a link, as a fraction.
+LEAST = (4, 5)
+#: Shingles in a chunk of the exact comparison; each set counts some more, so that a chunk has 8192 sets at most.
+LOAD, LOAD_SET = 1 << 21, 1 << 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -81,7 +87,10 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def wide_fingerprint(text: str | None, words: int, size: int) -> bytes:
     """``size`` words over the set of shingles, each from a hash of its own derived from the shingle's."""
-    h = np.unique(_shingle_hashes(text, words))
+    return _wide(np.unique(_shingle_hashes(text, words)), size)
+
+
+def _wide(h: np.ndarray, size: int) -> bytes:
     out = []
     for k in range(size):
         x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -91,18 +100,33 @@ def wide_fingerprint(text: str | None, words: int, size: int) -> bytes:
     return np.array(out, dtype=">u8").tobytes()
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, size: int = 1) -> DataFrame:
-    """``(id, fp)`` for every row; fp has ``size`` big-endian words: one is the SimHash, more are the wide form."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """``(id, fp)`` for every row; fp is the SimHash as a big-endian word."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = [fingerprint(t, words).to_bytes(8, "big") if size == 1 else wide_fingerprint(t, words, size) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp})
+            yield pd.DataFrame({"id": pdf["id"], "fp": [fingerprint(t, words).to_bytes(8, "big") for t in pdf["text"]]})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp binary")
 
 
+def _shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
+    """``id, k1, k2`` of every row with its wide fingerprint, a digest of its shingle set and the set's size."""
+    small_batches(keyed.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(_shingle_hashes(t, words)) for t in pdf["text"]]
+            out = pdf[["id", "k1", "k2"]].copy()
+            out["fp"] = [_wide(h, WIDE_WORDS) for h in sets]
+            out["digest"] = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
+            out["size"] = np.array([len(h) for h in sets], dtype=np.int64)
+            yield out
+
+    return keyed.mapInPandas(run, "id long, k1 long, k2 long, fp binary, digest long, size long")
+
+
 class VantageTree:
     """A complete tree over one block's values: vantage value and median radius of each inner node."""
 
@@ -229,14 +253,71 @@ def hamming_links(prints: DataFrame, limit: int, trees: int = 4, reach: int | No
     return routed.groupBy("leaf").applyInPandas(join, "a long, b long")
 
 
-def _grouped(docs: DataFrame, node, limit: int, trees: int, reach: int | None) -> DataFrame:
-    """``id, fp, component_id`` for every row of ``docs(id, fp)``."""
-    groups = materialise(docs.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", node), "simhash-groups")
-    comps = connected_components(hamming_links(groups, limit, trees, reach), "simhash-components")
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``LEAST`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def _exact_forest(words: np.ndarray, sets: list[np.ndarray], right: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the alike pairs among the rows, or between rows left and right of a pair of chunks."""
+    size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    for a in range(len(sets)) if right is None else np.flatnonzero(~right).tolist():
+        b = np.arange(a + 1, len(sets)) if right is None else np.flatnonzero(right)
+        # what is joined already needs no proof, and sets of too different sizes cannot be alike
+        b = b[(label[b] != label[a]) & (LEAST[1] * np.minimum(size[b], size[a]) >= LEAST[0] * np.maximum(size[b], size[a]))]
+        far = np.bitwise_count(words[b] ^ words[a]).sum(axis=1, dtype=np.int64)
+        for c in b[np.argsort(far, kind="stable")[: np.count_nonzero(far <= WIDE_LIMIT)]].tolist():
+            if label[c] != label[a] and _alike(sets[a], sets[c]):
+                out.append((a, c))
+                label[label == label[c]] = label[a]
+    return out
+
+
+def _exact_links(groups: DataFrame, loose: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect what pairs with alike shingle sets connect, inside the parts ``loose(node, component)``.
+
+    A part's sets are dealt into chunks of bounded size and every two chunks meet; small parts share a task.
+    Only texts of nodes in a part are cut into shingles again, one text of each node.
+    """
+    members = materialise(groups.join(loose, "node").select("component", "node", "fp", "k1", "k2", (F.col("size") + LOAD_SET).alias("load")), "simhash-members")
+    total = members.agg(F.sum("load")).first()[0] or 0
+    tasks = max(1, math.ceil(total / LOAD))
+    chunks = members.groupBy("component").agg(F.ceil(F.sum("load") / LOAD).cast("int").alias("chunks"))
+    placed = (members.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+              .withColumn("bucket", F.when(F.col("chunks") > 1, F.col("component")).otherwise(F.pmod(F.col("component"), F.lit(tasks)))))
+    # a merge join at every size: the members grow with the documents
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    found = texts.hint("merge").join(placed, ["k1", "k2"]).select("bucket", "component", "chunks", "chunk", "node", "fp", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["text"] = [np.unique(_shingle_hashes(t, words)).tobytes() for t in pdf["text"]]
+            yield pdf.rename(columns={"text": "shingles"})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.sort_values(["component", "node"], kind="stable").groupby("component", sort=False):
+            nodes = part["node"].tolist()
+            fps = np.frombuffer(b"".join(part["fp"]), dtype=">u8").astype(np.uint64).reshape(len(part), -1)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
+            right = None if part["i"].iloc[0] == part["j"].iloc[0] else (part["chunk"] == part["j"]).to_numpy()
+            out += [(nodes[a], nodes[b]) for a, b in _exact_forest(fps, sets, right)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    sets = found.mapInPandas(cut, "bucket long, component long, chunks int, chunk int, node long, fp binary, shingles binary")
+    met = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+           .select("bucket", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "fp", "shingles",
+                   (F.col("chunks") > 1).alias("alone")))
+    return met.groupBy("alone", "bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _named(docs: DataFrame, groups: DataFrame, comps: DataFrame, by: list[str]) -> DataFrame:
+    """``docs`` with ``component_id``, the smallest id of the component that their group's node is in."""
     placed = groups.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     least = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("joint"))
-    named = placed.join(least, "component", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    return docs.join(named, "fp").select("id", "fp", "component_id")
+    named = placed.join(least, "component", "left").select(*by, F.coalesce("joint", "least").alias("component_id"))
+    return docs.join(named, by)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4) -> DataFrame:
@@ -249,18 +330,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty result; further columns are ignored.
     """
     docs = materialise(fingerprints(df, id_col, text_col, words), "simhash-docs")
-    node = F.conv(F.hex("fp"), 16, -10).cast("long")
-    return _grouped(docs, node, limit, 4, None).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    groups = materialise(docs.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")), "simhash-groups")
+    comps = connected_components(hamming_links(groups, limit), "simhash-components")
+    return _named(docs, groups, comps, ["fp"]).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """Group documents whose shingle sets have an estimated Jaccard similarity of about 0.8 or more.
+    """Group documents that pairs with a Jaccard similarity of 0.8 or more of their shingle sets connect.
 
-    The estimate is cos(pi * distance / bits), turned into a Jaccard similarity, on ``WIDE_WORDS`` 64-bit
-    words (spread: 8 bits of 512). Trees over ``WIDE_TREES`` blocks, searched with radius 1, reach a pair at
-    the threshold with probability 0.99 and closer pairs with more. Returns ``id_col`` and ``component_id``;
-    the other rules are those of ``near_duplicates``.
+    Candidates are pairs at most ``WIDE_LIMIT`` bits apart by the wide fingerprint, met in trees over all its
+    blocks searched with radius 1: a pair at the threshold is missed with a probability of 0.0001, in texts of
+    a few shingles 0.003. Only candidates whose sets have the exact similarity link, so no others are
+    grouped. Returns ``id_col`` and ``component_id``; the other rules are those of ``near_duplicates``.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, words, WIDE_WORDS), "simhash-docs")
-    node = F.coalesce("least", F.xxhash64("fp"))
-    return _grouped(docs, node, WIDE_LIMIT, WIDE_TREES, 1).select(F.col("id").alias(id_col), "component_id")
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2"))
+    docs = materialise(_shingle_sets(keyed, words), "simhash-docs")
+    groups = docs.groupBy("fp", "digest").agg(F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.max("size").alias("size"))
+    groups = materialise(groups.select("fp", "digest", "least", "k.k1", "k.k2", "size", F.xxhash64("fp", "digest").alias("node")), "simhash-groups")
+    loose = connected_components(hamming_links(groups, WIDE_LIMIT, WIDE_TREES, 1), "simhash-loose")
+    comps = connected_components(_exact_links(groups, loose, keyed, words), "simhash-components")
+    return _named(docs, groups, comps, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")

@@ -30,3 +30,39 @@ def test_stages(spark, corpus):
     assert mixed.columns == corpus_pipeline.COLUMNS and 0 < mixed.count() <= 90
     for stage in (s for _, s in corpus_pipeline.STAGES):
         assert stage(spark, known.where("false"), "").count() == 0
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    """Pairs on both sides of 0.8 and chains below it: one document goes for each pair of 0.8 or more, and no other."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, want = [], set()
+    for k in range(240):
+        base = rng.choice(vocabulary, 204).tolist()
+        # a shared stretch of c words has c - 4 of the 200 shingles of each text
+        other = base[: (182 if k % 2 else 175)] + rng.choice(vocabulary, 22 if k % 2 else 29).tolist()
+        j = len(shingles(base) & shingles(other)) / len(shingles(base) | shingles(other))
+        assert (j >= 0.8) == bool(k % 2) and 0.7 < j < 0.82
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} if j >= 0.8 else {2 * k, 2 * k + 1}
+    base = rng.choice(vocabulary, 204).tolist()
+    for k in range(60):  # each is 0.76 like the next, and no two are 0.8 alike
+        rows.append((1000 + k, " ".join(base)))
+        want.add(1000 + k)
+        base = base[27:] + rng.choice(vocabulary, 27).tolist()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_exact_comparison_in_chunks(spark, monkeypatch):
+    """The same groups if a part is cut into chunks that meet in pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.choice([f"w{k}" for k in range(5000)], 204).tolist()
+    texts = [" ".join(base[k:] + [f"v{k}"] * k) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, corpus_pipeline.simhash.similar_groups(docs).collect()))
+    monkeypatch.setattr(corpus_pipeline.simhash, "LOAD", 4000)
+    assert whole == sorted(map(tuple, corpus_pipeline.simhash.similar_groups(docs).collect()))
+    assert len({c for _, c in whole}) < len(whole)
