@@ -111,14 +111,19 @@ class LanguageMasks:
                 hits[k] = np.count_nonzero(mask & np.uint64(1 << (k % 64)))
         return np.maximum(0.0, (hits - len(hashes) * self.chance) / np.maximum(1e-9, 1 - self.chance))
 
-    def decide(self, text: str | None) -> tuple[str, float]:
-        """Language and score: the best corrected count over the sum of the two best (1 if there is no second)."""
+    def decide(self, text: str | None, least: float = 0.0) -> tuple[str, float]:
+        """Language and score: the best corrected count over the sum of the two best (1 if there is no second).
+
+        Where ``least`` is given, a text of which the best language holds a smaller share of the n-grams is undetermined.
+        """
         if not has_letter(text):
             return UNDETERMINED, 0.0
         h = gram_hashes(text)
         c = self.counts(h) if len(h) and len(self.languages) else np.zeros(len(self.languages))
         if not len(c) or c.max() <= 0:
-            return self.fallback, 0.0
+            return self.fallback if least <= 0 else UNDETERMINED, 0.0
+        if c.max() < least * len(h):
+            return UNDETERMINED, 0.0
         best = int(c.argmax())  # ties: first by name
         rival = float(np.partition(c, -2)[-2]) if len(c) > 1 else 0.0
         return self.languages[best], float(c[best] / (c[best] + rival))
@@ -156,11 +161,12 @@ def fit(df: DataFrame, where, lang_col: str = "lang", text_col: str = "text", id
     return LanguageMasks.build({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in by.items()}, fallback)
 
 
-def identify(df: DataFrame, masks: LanguageMasks, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, masks: LanguageMasks, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` (0..1) for every row, and the columns named in ``keep``.
 
     'und' with score 0 where the text is null or has no letter. A text whose letters match no filter gets
-    the most frequent training language, score 0. Repeated rows are judged each; an empty table gives an
+    the most frequent training language, score 0; with ``least``, 'und' where no language holds that share of
+    the n-grams. Repeated rows are judged each; an empty table gives an
     empty result.
     """
     small_batches(df.sparkSession)
@@ -171,7 +177,7 @@ def identify(df: DataFrame, masks: LanguageMasks, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = table.value
         for pdf in batches:
-            got = [own.decide(t) for t in pdf["_text"]]
+            got = [own.decide(t, least) for t in pdf["_text"]]
             out = pdf.drop(columns="_text")
             out["lang_pred"], out["score"] = [g[0] for g in got], [g[1] for g in got]
             yield out

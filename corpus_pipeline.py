@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from chronofold.llm import language_id, mixing, packing, pii, simhash
 from chronofold.llm.common import materialise, small_batches, table
 
+#: Share of a text's n-grams that its language's filter must hold. In sf0.1 the least of 6000 documents has 0.28, of texts
+#: of under 100 n-grams only licence lines, addresses and secrets are below 0.6; noise of 5 words has 0.18 at most.
+KNOWN = 0.25
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any letter ('und'); all others have a language and stay."""
+    """Reject documents in none of the corpus's languages: no letter, or too few n-grams that the best filter holds."""
     masks = language_id.fit(docs, F.lit(True))
-    out = language_id.identify(docs.withColumn("_body", F.col("text")), masks, text_col="_body", keep=tuple(c for c in COLUMNS if c != "doc_id"))
+    out = language_id.identify(docs.withColumn("_body", F.col("text")), masks, text_col="_body", keep=tuple(c for c in COLUMNS if c != "doc_id"), least=KNOWN)
     return out.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 

@@ -66,3 +66,13 @@ def test_exact_comparison_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.simhash, "LOAD", 4000)
     assert whole == sorted(map(tuple, corpus_pipeline.simhash.similar_groups(docs).collect()))
     assert len({c for _, c in whole}) < len(whole)
+
+
+def test_unknown_languages_and_noise_are_rejected(spark, corpus):
+    rng = np.random.default_rng(13)
+    noise = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(80)) for _ in range(5)]
+    odd = [(100 + i, t, None, "s0", 1) for i, t in enumerate(noise + ["Привет мир, как дела сегодня", "これは日本語です"])]
+    short = [(200 + i, t, None, "s0", 1) for i, t in enumerate(("river", "stone tide", "amber north 12"))]
+    docs = corpus.unionByName(spark.createDataFrame(odd + short, corpus.schema))
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert not kept & {r[0] for r in odd} and {r[0] for r in short} <= kept and set(range(30)) <= kept
