@@ -313,10 +313,10 @@ def _exact_links(groups: DataFrame, loose: DataFrame, keyed: DataFrame, words: i
 
 
 def _named(docs: DataFrame, groups: DataFrame, comps: DataFrame, by: list[str]) -> DataFrame:
-    """``docs`` with ``component_id``, the smallest id of the component that their group's node is in."""
+    """``docs`` with ``component_id``, the smallest id of the component that their group's node is in, and ``part``, its smallest node."""
     placed = groups.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     least = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("joint"))
-    named = placed.join(least, "component", "left").select(*by, F.coalesce("joint", "least").alias("component_id"))
+    named = placed.join(least, "component", "left").select(*by, F.coalesce("joint", "least").alias("component_id"), F.coalesce("component", "node").alias("part"))
     return docs.join(named, by)
 
 
@@ -343,10 +343,20 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a few shingles 0.003. Only candidates whose sets have the exact similarity link, so no others are
     grouped. Returns ``id_col`` and ``component_id``; the other rules are those of ``near_duplicates``.
     """
-    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2"))
+    return similar_rows(df, id_col, text_col, words).select(id_col, "component_id")
+
+
+def text_key(text_col: str) -> list:
+    """``k1, k2``: 128 bits that name a text."""
+    return [F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2")]
+
+
+def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``similar_groups`` with the ``text_key`` of every row and its group's own name ``part``, as ids may be null or repeated."""
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *text_key(text_col))
     docs = materialise(_shingle_sets(keyed, words), "simhash-docs")
     groups = docs.groupBy("fp", "digest").agg(F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.max("size").alias("size"))
     groups = materialise(groups.select("fp", "digest", "least", "k.k1", "k.k2", "size", F.xxhash64("fp", "digest").alias("node")), "simhash-groups")
     loose = connected_components(hamming_links(groups, WIDE_LIMIT, WIDE_TREES, 1), "simhash-loose")
     comps = connected_components(_exact_links(groups, loose, keyed, words), "simhash-components")
-    return _named(docs, groups, comps, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
+    return _named(docs, groups, comps, ["fp", "digest"]).select(F.col("id").alias(id_col), "k1", "k2", "component_id", "part")

@@ -29,14 +29,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id; of its repeated rows, one."""
-    groups = simhash.similar_groups(docs.select("doc_id", "text"), words=5)
-    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-ids")
-    # a merge join at every size: the kept ids grow with the documents, so they must not be broadcast
-    docs = docs.hint("merge")
-    once = docs.join(kept.where("copies = 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    more = docs.join(kept.where("copies > 1").select(F.col("doc_id").alias("k")), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    return once.select(*COLUMNS).unionByName(more.select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """One row of each SimHash group (five-word shingles, similarity 0.8 or more) stays: one with the smallest id, if any has one."""
+    rows = simhash.similar_rows(docs.select("doc_id", "text"), words=5).groupBy("part", "doc_id", "k1", "k2").agg(F.count("*").alias("copies"))
+    least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "copies")).alias("row"))
+    kept = materialise(least.select(F.col("row.doc_id").alias("id"), F.col("row.k1").alias("a"), F.col("row.k2").alias("b"), "row.copies"), "kept-rows")
+    # a merge join at every size: the kept rows grow with the documents, so they must not be broadcast
+    docs = docs.select(*COLUMNS, *simhash.text_key("text")).hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))
+    once, more = (docs.join(kept.where(which).drop("copies"), same, "left_semi") for which in ("copies = 1", "copies > 1"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "k1", "k2"])).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_unknown_languages_and_noise_are_rejected(spark, corpus):
     docs = corpus.unionByName(spark.createDataFrame(odd + short, corpus.schema))
     kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
     assert not kept & {r[0] for r in odd} and {r[0] for r in short} <= kept and set(range(30)) <= kept
+
+
+def test_null_and_repeated_ids_keep_every_text(spark):
+    rng = np.random.default_rng(14)
+    text = [" ".join(rng.choice(WORDS, 120)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[3]), (7, text[4]), (3, text[4]), (9, text[5]), (9, text[5]), (None, text[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    want = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (3, text[4]), (9, text[5])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
