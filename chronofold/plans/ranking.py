@@ -30,16 +30,16 @@ def lexical_search(d):
 
 @plan
 def vector_search(d):
-    """Every fiftieth vector asks; a label is a bank, and a search stays inside its bank, as the store's does."""
-    return f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')}, 6) AS sim FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id)
+    """Every fiftieth vector asks all others, of any label or none."""
+    return f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')}, 6) AS sim FROM q JOIN embeddings v ON q.vec_id <> v.vec_id)
       SELECT query_id, vec_id, sim FROM s WHERE sim >= 0.3"""
 
 
 @plan
 def cosine_topk(d):
-    """The ten nearest of the bank (label) for every fiftieth vector: an equi-join on the bank, then a bounded rank."""
+    """The ten nearest of all other vectors for every fiftieth vector, then a bounded rank."""
     norm = lambda x: f"sqrt({d.dot(x, x)})"
-    return f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')} / ({norm('q.embedding')} * {norm('v.embedding')}), 5) AS sim FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id),
+    return f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')} / ({norm('q.embedding')} * {norm('v.embedding')}), 5) AS sim FROM q JOIN embeddings v ON q.vec_id <> v.vec_id),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS BIGINT) AS r FROM s) SELECT query_id, vec_id, sim, r FROM r WHERE r <= 10"""
 
 
