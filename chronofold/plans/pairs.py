@@ -133,11 +133,11 @@ def semantic_supersession(d):
 
 @plan
 def candidate_generation(d):
-    """Five most similar earlier turns, and up to twelve more that share a word of five letters or more."""
+    """The ten most similar earlier turns, and up to twelve more that share a word of five letters or more."""
     return f"""WITH {turns(d)}, p AS (SELECT a.bank, a.ord AS new_ord, b.ord AS old_ord, round({T.jaccard(d, 'a.t', 'b.t')}, 6) AS j, {d.n(d.where(d.both('a.t', 'b.t'), 'length(x) >= 5'))} AS linked FROM turns a JOIN turns b ON a.bank = b.bank AND b.ord < a.ord),
       r AS (SELECT *, row_number() OVER (PARTITION BY bank, new_ord ORDER BY j DESC, old_ord) AS k FROM p),
-      l AS (SELECT *, row_number() OVER (PARTITION BY bank, new_ord ORDER BY linked DESC, old_ord) AS m FROM r WHERE k > 2 AND linked > 0)
-      SELECT bank, new_ord, old_ord, 'similar' AS why FROM r WHERE k <= 2 UNION ALL SELECT bank, new_ord, old_ord, 'linked' AS why FROM l WHERE m <= 12"""
+      l AS (SELECT *, row_number() OVER (PARTITION BY bank, new_ord ORDER BY linked DESC, old_ord) AS m FROM r WHERE k > 10 AND linked > 0)
+      SELECT bank, new_ord, old_ord, 'similar' AS why FROM r WHERE k <= 10 UNION ALL SELECT bank, new_ord, old_ord, 'linked' AS why FROM l WHERE m <= 12"""
 
 
 @plan
