@@ -3,8 +3,8 @@
 Filter directions are a random product code: a vector is cut into two halves, each half has B random
 unit codewords, and every pair of codewords is one of B*B directions. A vector belongs to each filter
 whose direction it exceeds ``alpha`` on; list decoding finds these from the two score lists, without
-going through all B*B sums. Vectors meet in shared filters and each pair is verified exactly, in double
-precision, at the smallest filter that it shares, so it is counted once.
+going through all B*B sums. Vectors meet in shared filters and are verified exactly, in double
+precision; a pair counts at the smallest codeword of the first half under which it shares a filter.
 
 B grows with the square root of the row count, so a filter's expected population stays constant.
 Vectors of one filter are shuffled by the first half's codeword; crowded codewords are cut into chunks
@@ -34,6 +34,8 @@ POPULATION = 96
 #: Rows of one side of a group.
 CHUNK = 4000
 SLICE = 512
+#: Filters looked at together when a chunk's pairs are told from those of smaller codewords.
+COLUMNS = 4096
 
 
 def code_size(rows: int) -> int:
@@ -77,6 +79,11 @@ def _usable(column: str):
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
+def _name(column: str) -> list:
+    """``h1, h2``: 128 bits that name a vector."""
+    return [F.xxhash64(column).alias("h1"), F.xxhash64(column, F.lit(1)).alias("h2")]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) that keep the same parts together as the pairs (a, b) over 0..n-1."""
     label = np.arange(n)
@@ -93,62 +100,76 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node, label[node]
 
 
-def _membership(lists: list[np.ndarray], rows: np.ndarray, used: np.ndarray, key: int) -> np.ndarray:
-    """0/1 matrix: which of the ``used`` filters smaller than ``key`` each row has."""
-    m = np.zeros((len(rows), len(used)), dtype=np.float32)
-    for k, x in enumerate(rows):
-        m[k, np.searchsorted(used, lists[x][: np.searchsorted(lists[x], key)])] = 1
-    return m
+def _unit(vec: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no finite vector overflows or vanishes."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
+
+
+def _met_before(x: np.ndarray, y: np.ndarray, lists: list[np.ndarray], bound: int) -> np.ndarray:
+    """Which of the pairs (x, y) of rows share a filter below ``bound``."""
+    rows, inverse = np.unique(np.r_[x, y], return_inverse=True)
+    x, y = inverse[: len(x)], inverse[len(x) :]
+    low = [lists[r][: np.searchsorted(lists[r], bound)] for r in rows]
+    flat, owner = np.concatenate(low), np.repeat(np.arange(len(rows)), [len(f) for f in low])
+    name, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    column, owner = column[often[column] > 1], owner[often[column] > 1]  # a filter of one row is shared by none
+    used, column = np.unique(column, return_inverse=True)
+    met = np.zeros(len(x), dtype=bool)
+    for at in range(0, len(used), COLUMNS):
+        here = (column >= at) & (column < at + COLUMNS)
+        bits = np.zeros((len(rows), COLUMNS // 8), dtype=np.uint8)
+        np.bitwise_or.at(bits, (owner[here], (column[here] - at) // 8), (1 << ((column[here] - at) % 8)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        step = max(1, (1 << 22) // words.shape[1])
+        for k in range(0, len(x), step):
+            left = np.flatnonzero(~met[k : k + step]) + k
+            met[left] = (words[x[left]] & words[y[left]]).any(axis=1)
+    return met
 
 
 def _link_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Verify one group (codeword of the first half, chunk pair): link weights and a spanning forest."""
-    ids, mult = pdf["rep"].to_numpy(), pdf["mult"].to_numpy()
-    vec = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    pdf = pdf.sort_values("node", kind="stable")
+    nodes, mult, dim = pdf["node"].to_numpy(dtype=np.int64), pdf["mult"].to_numpy(dtype=np.int64), int(pdf["dim"].iloc[0])
+    vec = np.frombuffer(b"".join(pdf["vec"]), dtype="<f8").reshape(-1, dim)
     side = (pdf["chunk"] != pdf["left"]).to_numpy()  # True: the right-hand chunk
     across = pdf["left"].iloc[0] != pdf["right"].iloc[0]
-    lists = [np.asarray(f, dtype=np.int64) for f in pdf["filters"]]
+    lists = [np.frombuffer(f, dtype="<i8") for f in pdf["filters"]]
     size, code = int(pdf["size"].iloc[0]), int(pdf["code"].iloc[0])
     flat = np.concatenate(lists)
     owner = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
     here = flat // size == code
     order = np.argsort(flat[here], kind="stable")
     keys, rows = flat[here][order], owner[here][order]
-    weight = np.zeros(len(ids), dtype=np.int64)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+    # which rows of the left have met which of the right, in any filter of this codeword
+    one_side, two_side = (np.flatnonzero(~side), np.flatnonzero(side)) if across else (np.arange(len(nodes)),) * 2
+    place = np.zeros(len(nodes), dtype=np.int64)
+    place[one_side] = np.arange(len(one_side))
+    place[two_side] = np.arange(len(two_side))
+    met = np.zeros((len(one_side), len(two_side)), dtype=bool)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    for s, e in zip(starts, np.r_[starts[1:], len(keys)]):
+    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(keys)].tolist() if len(starts) else []):
+        if e - s < 2:
+            continue
         member = rows[s:e]
         one, two = (member[~side[member]], member[side[member]]) if across else (member, member)
-        if not len(one) or not len(two) or (not across and len(one) < 2):
+        if not len(one) or not len(two):
             continue
-        key = keys[s]
-        used = other = None
         for at in range(0, len(one), SLICE):
             part = one[at : at + SLICE]
-            near = vec[part] @ vec[two].T >= threshold
-            if not across:
-                near &= ids[part][:, None] < ids[two][None, :]
-            if not near.any():
-                continue
-            if used is None:
-                used = np.unique(np.concatenate([lists[m][: np.searchsorted(lists[m], key)] for m in member]))
-                other = _membership(lists, two, used, key)
-            near &= (_membership(lists, part, used, key) @ other.T) == 0  # met in no smaller filter
-            weight[part] += near @ mult[two]
-            weight[two] += mult[part] @ near
-            x, y = np.nonzero(near)
-            if len(x):
-                node, root = _forest(len(ids), part[x], two[y])
-                left.append(ids[node])
-                right.append(ids[root])
+            x, y = np.nonzero(vec[part] @ vec[two].T >= threshold)
+            if len(x) > (0 if across else len(part)):
+                met[place[part[x]], place[two[y]]] = True
+    x, y = np.nonzero(met if across else np.triu(met, 1))
+    x, y = one_side[x], two_side[y]
+    if len(x):
+        fresh = ~_met_before(x, y, lists, code * size)
+        x, y = x[fresh], y[fresh]
+    weight = np.bincount(x, mult[y], len(nodes)).astype(np.int64) + np.bincount(y, mult[x], len(nodes)).astype(np.int64)
     got = np.flatnonzero(weight)
-    a = np.concatenate([ids[got], *left])
-    b = np.concatenate([ids[got], *right])
-    w = np.concatenate([weight[got], *(np.zeros(len(x), dtype=np.int64) for x in left)])
-    return pd.DataFrame({"a": a, "b": b, "w": w})
+    node, root = _forest(len(nodes), x, y)
+    return pd.DataFrame({"a": np.r_[nodes[got], nodes[node]], "b": np.r_[nodes[got], nodes[root]], "w": np.r_[weight[got], np.zeros(len(node), dtype=np.int64)]})
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -165,9 +186,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     small_batches(spark)
     kind = dict(df.dtypes)[vec_col]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
+    # adding zero makes a negative zero positive: equal vectors have equal hashes
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col).cast(kind), lambda x: x + F.lit(0).cast(kind[6:-1])).alias("vec"))
     base = base.withColumn("ok", F.coalesce(_usable("vec") & F.col("id").isNotNull(), F.lit(False)))
-    reps = materialise(base.where("ok").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "caps-reps")
+    # a vector's node is its row number, not an id: ids may repeat
+    reps = base.where("ok").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("mult"))
+    reps = materialise(reps.select("*", *_name("vec"), F.monotonically_increasing_id().alias("node")), "caps-reps")
     rows = reps.count()
     size = code_size(rows)
 
@@ -177,29 +201,31 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             dims = pdf["vec"].map(len).to_numpy()
             for dim in np.unique(dims):
                 part = pdf[dims == dim]
-                unit = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]]))
                 lists = codes.setdefault(int(dim), CapFilters(int(dim), size)).decode(unit)
-                yield pd.DataFrame({"rep": part["rep"], "mult": part["mult"], "vec": part["vec"], "dim": int(dim),
-                                    "filters": lists, "codes": [np.unique(f // size) for f in lists]})
+                yield pd.DataFrame({"node": part["node"], "mult": part["mult"], "vec": [v.astype("<f8").tobytes() for v in unit], "dim": int(dim),
+                                    "filters": [f.astype("<i8").tobytes() for f in lists], "codes": [np.unique(f // size) for f in lists]})
 
-    routed = materialise(reps.mapInPandas(route, f"rep long, mult long, vec {kind}, dim int, filters array<long>, codes array<long>"), "caps-routed")
+    routed = materialise(reps.select("node", "mult", "vec").mapInPandas(route, "node long, mult long, vec binary, dim int, filters binary, codes array<long>"), "caps-routed")
     placed = routed.withColumn("code", F.explode("codes")).drop("codes")
     # one count for each codeword: at most dims * B rows, B ~ sqrt(rows)
     load = placed.groupBy("dim", "code").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    placed = placed.join(load, ["dim", "code"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    placed = placed.join(load, ["dim", "code"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     pairs = (placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .withColumn("left", F.least("chunk", "mate").cast("int")).withColumn("right", F.greatest("chunk", "mate").cast("int"))
              .withColumn("size", F.lit(size)))
     found = (pairs.groupBy("dim", "code", "left", "right")
              .applyInPandas(lambda pdf: _link_block(pdf, threshold), "a long, b long, w long"))
     found = materialise(found, "caps-links")
-    links = found.where("w > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
+    links = found.where("w > 0").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     comps = connected_components(found.where("a <> b").select("a", "b"), "caps-components")
-    known = (reps.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("vec", "rep", (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"),
-                     F.coalesce("component", "rep").alias("component_id")))
-    fine = base.where("ok").select("id", "vec").join(known, "vec").select("id", "n_links", "component_id")
+    known = reps.drop("vec").join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = materialise(known, "caps-known")
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "component_id")
+    # rows meet their vector by its hashes, without the vector
+    mine = base.where("ok").select("id", *_name("vec"))
+    fine = mine.join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("id", "n_links", "component_id")
     rest = base.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return (fine.unionByName(rest)
             .select(F.col("id").alias(id_col), "n_links", "component_id",

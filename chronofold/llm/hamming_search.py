@@ -5,14 +5,17 @@ searches its segments with growing radius: once every segment was searched to ra
 m segments to r + 1, all codes within m*r + m - 1 + a bits were seen (pigeonhole). It stops as soon as its
 k-th verified distance is at most that bound, so the answer is proven, not approximate.
 
-Rows are dealt into blocks by a hash; queries visit every block in blocks of their own, and the blocks'
-top-k lists are merged. Equal codes are kept once with their k + 1 smallest ids, which is all that a
-top-k list can ask for.
+Codes are dealt into blocks by a hash, each once. Every query visits every block: a task reads a block's codes
+first, indexes them once, and then answers the queries as they stream by, so it holds one block and one batch.
+The blocks' top-k lists are merged. Equal codes are kept once with their k + 1 smallest ids, which is all that
+a top-k list can ask for. Blocks grow with the table, so that there are ``MOST_BLOCKS`` copies of a query until a
+block has ``LARGE_BLOCK`` codes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,13 +27,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SEGMENTS, WIDTH = 4, 16
-#: Codes of a block and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 50_000, 2_000
+#: Codes of a block while there are at most ``MOST_BLOCKS`` of them; codes that a block may grow to before there are more.
+BLOCK_ROWS, MOST_BLOCKS, LARGE_BLOCK = 16_384, 64, 1_000_000
 
 
 def sign_code(column: str):
-    """A 64-bit code from the signs of a vector's first 64 parts (bit i: part i > 0; missing or null parts: 0)."""
-    bits = [F.when(F.try_element_at(F.col(column), F.lit(i + 1)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    """A 64-bit code from the signs of a vector's first 64 parts (bit i: part i > 0; missing, null and not-a-number parts: 0)."""
+    part = lambda i: F.try_element_at(F.col(column), F.lit(i + 1))
+    bits = [F.when((part(i) > 0) & ~F.isnan(part(i)), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
@@ -78,6 +82,39 @@ class SegmentIndex:
         return found, far
 
 
+class Block:
+    """The codes of one block, each with its ids, and the proven top k of a query among them."""
+
+    def __init__(self, codes: np.ndarray, ids: list, k: int, masks: list[np.ndarray]):
+        self.index, self.k, self.masks = SegmentIndex(codes), k, masks
+        self.many = np.array([len(x) for x in ids], dtype=np.int64)
+        self.first = np.r_[0, np.cumsum(self.many)]
+        self.ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in ids)])
+        self.by_id = np.argsort(self.ids, kind="stable")
+
+    def _place(self, qid: int) -> int:
+        """Position of the code that has this id, -1 if none here."""
+        at = np.searchsorted(self.ids, qid, sorter=self.by_id)
+        if at == len(self.ids) or self.ids[self.by_id[at]] != qid:
+            return -1
+        return int(np.searchsorted(self.first, self.by_id[at], side="right")) - 1
+
+    def nearest(self, qid: int, code: np.uint64) -> list[tuple[int, int]]:
+        mine, k = self._place(qid), self.k
+
+        def enough(far, found, bound) -> bool:
+            near = found[far <= bound]
+            return self.many[near].sum() - bool(mine >= 0 and (near == mine).any()) >= k
+
+        found, far = self.index.search(code, enough, self.masks)
+        if not len(found):
+            return []
+        order = np.argsort(far, kind="stable")
+        last = far[order[min(len(order), k + 1) - 1]]  # each code has an id, and one of them may be the query's own
+        rows = [(int(far[x]), int(i)) for x in order[far[order] <= last] for i in self.ids[self.first[found[x]] : self.first[found[x] + 1]] if i != qid]
+        return sorted(rows)[:k]
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest index rows of every query, nearest first, ties by id.
 
@@ -91,56 +128,38 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # a query's own id may be among the smallest ids of a code, so one more than k is kept
     ranked = index.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
     codes = materialise(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mih-codes")
-    total, asked = codes.count(), queries.count()
-    blocks, query_blocks = max(1, math.ceil(total / BLOCK_ROWS)), max(1, math.ceil(asked / BLOCK_QUERIES))
-
-    def each(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = (codes.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).withColumn("part", each(query_blocks))
-            .select("block", "part", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("id"), "code", "ids"))
-    right = (queries.withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(query_blocks)).cast("int")).withColumn("block", each(blocks))
-             .select("block", "part", F.lit(True).alias("asks"), "id", "code", F.array().cast("array<bigint>").alias("ids")))
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(dtype=bool)
-        own, q = pdf[~asks], pdf[asks]
-        empty = pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype("int64")
-        if not len(own) or not len(q):
-            return empty
-        ids = [np.asarray(x, dtype=np.int64) for x in own["ids"]]
-        many = np.array([len(x) for x in ids])
-        codes64 = own["code"].to_numpy(dtype=np.int64).view(np.uint64)
-        idx, masks, out = SegmentIndex(codes64), _masks(), []
-        where = {}
-        for pos, x in enumerate(ids):
-            for i in x.tolist():
-                where[i] = pos
-        for qid, code in zip(q["id"].tolist(), q["code"].to_numpy(dtype=np.int64).view(np.uint64)):
-            mine = where.get(qid, -1)
-
-            def enough(far, found, bound, mine=mine):
-                near = far <= bound
-                count = many[found[near]].sum() - (1 if mine >= 0 and (found[near] == mine).any() else 0)
-                return count >= k
-
-            found, far = idx.search(code, enough, masks)
-            rows = [(int(d), int(i)) for pos, d in zip(found[np.argsort(far, kind="stable")], np.sort(far)) for i in ids[pos] if i != qid] if len(found) <= 4 * k else None
-            if rows is None:
-                cut = np.sort(far)[min(len(far), k + 1) - 1]
-                near = np.flatnonzero(far <= cut)
-                rows = [(int(far[x]), int(i)) for x in near for i in ids[found[x]] if i != qid]
-            out += [(qid, i, d) for d, i in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"]).astype("int64") if out else empty
-
-    local = left.unionByName(right).groupBy("block", "part").applyInPandas(answer, "query_id long, id long, distance long")
+    total = codes.count()
+    blocks = max(1, min(math.ceil(total / BLOCK_ROWS), max(MOST_BLOCKS, math.ceil(total / LARGE_BLOCK))))
+    left = (codes.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
+            .select("block", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("id"), "code", "ids"))
+    right = (queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select("block", F.lit(True).alias("asks"), "id", "code", F.array().cast("array<bigint>").alias("ids")))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masks, here, codes_of, ids_of, block = _masks(), None, [], [], None
+        for pdf in batches:
+            out: list[tuple[int, int, int]] = []
+            for at, part in pdf.groupby("block", sort=False):
+                if at != here:
+                    here, codes_of, ids_of, block = at, [], [], None
+                asks = part["asks"].to_numpy(dtype=bool)
+                codes_of.append(part["code"].to_numpy(dtype=np.int64)[~asks].view(np.uint64))
+                ids_of += part["ids"][~asks].tolist()
+                if asks.any():  # the block's codes have all come
+                    block = block or Block(np.concatenate(codes_of), ids_of, k, masks)
+                    for qid, code in zip(part["id"][asks].tolist(), part["code"].to_numpy(dtype=np.int64)[asks].view(np.uint64)):
+                        out += [(qid, i, d) for d, i in block.nearest(qid, code)]
+            yield pd.DataFrame(out, columns=["query_id", "id", "distance"]).astype("int64")
+
+    dealt = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks", "code", "id")
+    local = dealt.mapInPandas(answer, "query_id long, id long, distance long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 ORACLE = """
 WITH bits AS (
-  SELECT vec_id, CAST(sum(CASE WHEN x > 0 THEN 1::HUGEINT << CAST(i - 1 AS INT) ELSE 0 END) AS HUGEINT) AS code
+  SELECT vec_id, CAST(sum(CASE WHEN x > 0 AND NOT isnan(x) THEN 1::HUGEINT << CAST(i - 1 AS INT) ELSE 0 END) AS HUGEINT) AS code
   FROM (SELECT vec_id, unnest(embedding[1:64]) AS x, generate_subscripts(embedding[1:64], 1) AS i FROM embeddings) GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(q.code, v.code)) AS BIGINT) AS distance

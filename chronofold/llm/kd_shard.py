@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, unit_hash
+from .common import discard, materialise, unit_hash
 
 BINS = 2048
 PASSES = 2
 #: Rows numbered by one task when slots are given out.
 SLOT_ROWS = 20_000
+#: Equal rows unfolded by one task.
+RUN = 10_000
 DIMS = ("d_source", "d_lang", "d_size", "d_id")
 
 
@@ -31,9 +33,16 @@ def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in has else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
                      F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), source.alias("src"), lang.alias("lng"))
-    tie = unit_hash("id", "crc", "src", "lng", seed=7)
+    # rows that are equal in all of this are told apart by their number among each other; counted and unfolded in
+    # bounded runs, so that a row repeated very often is not numbered in one task
+    same = rows.groupBy("id", "size", "crc", "src", "lng").agg(F.count("*").alias("n"))
+    runs = same.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    long_ones = runs.where(F.col("n") > RUN).repartition("id", "crc", "run")
+    runs = runs.where(F.col("n") <= RUN).unionByName(long_ones)
+    rows = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1))).drop("run", "n")
+    tie = unit_hash("id", "crc", "src", "lng", "copy", seed=7)
     return rows.select(
-        "id", "size", "crc",
+        "id", "size", "crc", "copy",
         (F.pmod(F.xxhash64("src"), F.lit(1024)).cast("double") + tie).alias("d_source"),
         (F.pmod(F.xxhash64("lng"), F.lit(64)).cast("double") + tie).alias("d_lang"),
         F.log2(F.col("size") + tie).alias("d_size"),
@@ -89,7 +98,8 @@ def _grow(rows: DataFrame, shards: int) -> DataFrame:
                 ranges[n.first], below[n.first] = (low + b * step, low + (b + 1) * step), run
                 n.cut = ranges[n.first][1] if abs(run + w - goal[n.first]) < abs(run - goal[n.first]) else ranges[n.first][0]
         moved = _by_node(split, lambda n: F.when(F.col(n.dim) < F.lit(n.cut), F.lit(n.first)).otherwise(F.lit(n.first + n.leaves // 2)))
-        at = materialise(at.withColumn("node", F.coalesce(moved, F.col("node"))), "kd-level")
+        last, at = at, materialise(at.withColumn("node", F.coalesce(moved, F.col("node"))), "kd-level")
+        discard(last)
         nodes = [part for n in nodes for part in ([n] if n.leaves == 1 else [_Node(n.first, n.leaves // 2), _Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2)])]
     return at
 
@@ -101,15 +111,16 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     ``text_crc32`` (of the UTF-8 bytes; null as empty), ``law`` ('bytes'), ``shard`` (0..shards-1),
     ``slot`` (gapless from 0 in each shard, by hash cell, then id) and ``grown_shard`` (null: the law is
     not 'key'). Null ids, sources and languages are values like any other; ``source`` and ``lang`` may be
-    missing. Rows equal in id, text, source and lang share a shard. An empty table gives an empty result.
+    missing. Equal rows are told apart by a number, so a row repeated very often is spread
+    like any other rows; groups of equal texts are not kept together. An empty table gives an empty result.
     """
     rows = _grow(_narrow(df, id_col, text_col), shards)
     cells = max(1, math.ceil(rows.count() / shards / SLOT_ROWS))
-    at = (rows.select("id", "size", "crc", F.col("node").cast("int").alias("shard"))
-          .withColumn("cell", F.pmod(F.xxhash64("id", "crc"), F.lit(cells)).cast("int")))
+    at = (rows.select("id", "size", "crc", "copy", F.col("node").cast("int").alias("shard"))
+          .withColumn("cell", F.pmod(F.xxhash64("id", "crc", "copy"), F.lit(cells)).cast("int")))
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     base = at.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = W.partitionBy("shard", "cell").orderBy("id", "crc", "size")
+    inner = W.partitionBy("shard", "cell").orderBy("id", "crc", "size", "copy")
     return (at.join(base, ["shard", "cell"]).withColumn("slot", F.col("base") + F.row_number().over(inner) - 1)
             .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
                     "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))

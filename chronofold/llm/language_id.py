@@ -39,36 +39,52 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _stretches(text: str) -> Iterator[np.ndarray]:
-    """Code points of the lower-cased text: letters kept, everything else one space, spaces at both ends."""
-    low = text.lower()
-    for at in range(0, len(low), STRETCH):
-        part = low[max(0, at - max(SIZES)) : at + STRETCH]
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letter = _letter_table()[c]
-        c = np.where(letter, c, 32).astype(np.uint64)
-        keep = np.r_[True, letter[1:] | letter[:-1]] if len(c) else np.zeros(0, bool)
-        c = c[keep]
-        yield np.r_[np.uint64(32), c, np.uint64(32)]
-
+def _stretches(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """Code points of the lower-cased text, letters kept and all else one space, in stretches of bounded size.
 
-def gram_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash for every n-gram of the text's words that holds a letter; sizes do not collide."""
-    out = []
-    for c in _stretches(text or ""):
+    A stretch ends at a space, so no n-gram is cut; inside a word longer than a stretch it repeats the last
+    letters of the one before, and ``fresh`` says whether it does not.
+    """
+    low = text.lower()
+    at, fresh = 0, True
+    while at < len(low):
+        end = min(len(low), at + STRETCH)
+        part = np.frombuffer(low[at:end].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letter_table()[part]
+        whole = True
+        if end < len(low):
+            gaps = np.flatnonzero(~letter)
+            whole = bool(len(gaps))
+            if whole:
+                end = at + int(gaps[-1]) + 1
+                part, letter = part[: gaps[-1] + 1], letter[: gaps[-1] + 1]
+        c = np.where(letter, part, 32).astype(np.uint64)
+        c = c[np.r_[True, letter[1:] | letter[:-1]]] if len(c) else c
+        yield np.r_[np.full(int(fresh), 32, np.uint64), c, np.full(int(whole), 32, np.uint64)], fresh
+        at, fresh = (end, True) if whole else (end - max(SIZES) + 1, False)
+
+
+def _grams(text: str | None) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of the text's words that hold a letter, stretch by stretch; sizes do not collide."""
+    for c, fresh in _stretches(text or ""):
         for n in SIZES:
-            if len(c) < n:
+            own = c if fresh else c[max(SIZES) - n :]  # n-grams of repeated letters alone were given before
+            if len(own) < n:
                 continue
-            h = np.full(len(c) - n + 1, n, dtype=np.uint64)
+            h = np.full(len(own) - n + 1, n, dtype=np.uint64)
             space = np.ones(len(h), dtype=bool)
             for k in range(n):
-                piece = c[k : len(c) - n + 1 + k]
+                piece = own[k : len(own) - n + 1 + k]
                 h = (h ^ piece) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
                 if 0 < k < n - 1:
                     space &= piece != 32  # n-grams do not cross from word to word
-            out.append(h[space])
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+            yield h[space]
+
+
+def gram_hashes(text: str | None) -> np.ndarray:
+    """All n-gram hashes of a text at once."""
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *_grams(text)])
 
 
 def has_letter(text: str | None) -> bool:
@@ -99,8 +115,8 @@ class LanguageMasks:
     def _at(h: np.ndarray) -> list[np.ndarray]:
         return [((h >> np.uint64(20 * i)) & np.uint64(CELLS - 1)).astype(np.int64) for i in range(HASHES)]
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Hits of each language among the n-grams, corrected for false positives: (hits - n p) / (1 - p), at least 0."""
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language's filter holds: the popcount of its bit over the looked-up masks."""
         at = self._at(hashes)
         hits = np.zeros(len(self.languages))
         for w in range(len(self.cells)):
@@ -109,7 +125,22 @@ class LanguageMasks:
                 mask &= self.cells[w][a]
             for k in range(64 * w, min(len(self.languages), 64 * w + 64)):
                 hits[k] = np.count_nonzero(mask & np.uint64(1 << (k % 64)))
-        return np.maximum(0.0, (hits - len(hashes) * self.chance) / np.maximum(1e-9, 1 - self.chance))
+        return hits
+
+    def _corrected(self, hits: np.ndarray, total: int) -> np.ndarray:
+        """(hits - n p) / (1 - p), at least 0: what is left of the hits without the false positives expected of n n-grams."""
+        return np.maximum(0.0, (hits - total * self.chance) / np.maximum(1e-9, 1 - self.chance))
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return self._corrected(self.hits(hashes), len(hashes))
+
+    def text_counts(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Corrected counts of a text and the number of its n-grams, stretch by stretch."""
+        hits, total = np.zeros(len(self.languages)), 0
+        for h in _grams(text):
+            hits += self.hits(h)
+            total += len(h)
+        return self._corrected(hits, total), total
 
     def decide(self, text: str | None, least: float = 0.0) -> tuple[str, float]:
         """Language and score: the best corrected count over the sum of the two best (1 if there is no second).
@@ -118,11 +149,10 @@ class LanguageMasks:
         """
         if not has_letter(text):
             return UNDETERMINED, 0.0
-        h = gram_hashes(text)
-        c = self.counts(h) if len(h) and len(self.languages) else np.zeros(len(self.languages))
+        c, total = self.text_counts(text)
         if not len(c) or c.max() <= 0:
             return self.fallback if least <= 0 else UNDETERMINED, 0.0
-        if c.max() < least * len(h):
+        if c.max() < least * total:
             return UNDETERMINED, 0.0
         best = int(c.argmax())  # ties: first by name
         rival = float(np.partition(c, -2)[-2]) if len(c) > 1 else 0.0
@@ -145,11 +175,25 @@ def fit(df: DataFrame, where, lang_col: str = "lang", text_col: str = "text", id
     sample = known.where(unit_hash(id_col, seed=3) < F.lit(share)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for lang, parts in seen.items():
+                g, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": g.view(np.int64), "n": n})
+            seen.clear()
+
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                h = [gram_hashes(t) for t in part["text"] if t]
-                g, n = np.unique(np.concatenate(h), return_counts=True) if h else (np.zeros(0, np.uint64), np.zeros(0, int))
-                yield pd.DataFrame({"lang": lang, "gram": g.view(np.int64), "n": n})
+                for t in part["text"]:
+                    for h in _grams(t):
+                        seen.setdefault(lang, []).append(h)
+                        held += len(h)
+                        if held > 8 * STRETCH:
+                            yield from flush()
+                            held = 0
+        yield from flush()
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -2,11 +2,11 @@
 
 1. Texts are tokenised once; the ids go to the shared folder as compressed 16-bit words, with a route: two
    min-hashes of the document's token set. Ordered by route, similar documents are neighbours.
-2. The table is dealt by ranges of (route, id), so a crowded route is cut by id, and each task packs its
-   range in shards of about ``SHARD_TOKENS`` ids. A shard has a BM25 inverted index of its documents; a
-   seed asks it for unused neighbours, which fill the seed's window. The document that no longer fits is
-   cut, and its rest starts the next window. Every id lands in exactly one piece; only the last window of
-   a task is left with padding.
+2. The table is dealt by ranges of the route that hold equally many ids (a crowded route is cut by a hash),
+   and each task packs its range in shards of about ``SHARD_TOKENS`` ids. A shard has a BM25 inverted index
+   of its documents; a seed asks it, with all its terms, for unused neighbours, which fill the seed's window.
+   The document that no longer fits is cut, and its rest starts the next window. Every id lands in exactly
+   one piece; only the last window of a task is left with padding.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -29,7 +29,10 @@ from .common import materialise, small_batches
 WINDOW, END = 2048, 1
 TOKENS_PER_TASK = 8_000_000
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 12
+#: Leading bits of the route whose ids are counted for the cuts.
+CELL_BITS = 12
+#: Neighbours fetched at once; when they are used up and the window is not full, the seed asks again.
+FETCH = 64
 K1, B = 1.2, 0.75
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -133,17 +136,19 @@ class Shard:
         self.weight = idf[flat[at]] * tf[at] * (K1 + 1) / (tf[at] + norm[owner[at]])
         self.value = np.where(df > 1, idf, 0.0)  # a term of one document finds no neighbour
 
-    def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> np.ndarray:
-        """Unused documents that share the seed's most telling terms, best first; ties in shard order."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document of the shard for all terms of the seed that another document has."""
         terms = self.own[seed]
-        pick = terms[np.argsort(-self.value[terms], kind="stable")[:QUERY_TERMS]]
-        pick = pick[self.value[pick] > 0]
-        if not len(pick):
-            return np.zeros(0, dtype=np.int64)
-        at = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in pick])
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-        score[used] = 0
-        found = np.flatnonzero(score > 0)
+        terms = terms[self.value[terms] > 0].astype(np.int64)
+        size = self.start[terms + 1] - self.start[terms]
+        at = np.repeat(self.start[terms] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(terms) else np.zeros(0, np.int64)
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+
+    def neighbours(self, score: np.ndarray, used: np.ndarray, most: int = FETCH) -> np.ndarray:
+        """Unused documents by their scores, best first; ties in shard order."""
+        found = np.flatnonzero((score > 0) & ~used)
+        if len(found) > 4 * most:  # whatever ties with the last of the best stays
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
         return found[np.argsort(-score[found], kind="stable")[:most]]
 
 
@@ -151,8 +156,11 @@ class Packer:
     """Fills windows one after the other and records the pieces."""
 
     def __init__(self, first_sequence: int):
-        self.sequence, self.filled = first_sequence, 0
         self.rows: list[tuple] = []
+        self.begin(first_sequence)
+
+    def begin(self, sequence: int) -> None:
+        self.sequence, self.filled = sequence, 0
 
     def place(self, doc_id, ids: np.ndarray) -> bool:
         """Add a whole document; True if it closed at least one window."""
@@ -168,7 +176,7 @@ class Packer:
 
     def shard(self, doc_ids: list, docs: list[np.ndarray]) -> None:
         index, used = Shard(docs), np.zeros(len(docs), dtype=bool)
-        fresh, seed = 0, None
+        fresh, seed, score, asked = 0, None, None, None
         while True:
             if seed is None:
                 while fresh < len(docs) and used[fresh]:
@@ -181,7 +189,9 @@ class Packer:
             if self.filled == 0:
                 seed = None
                 continue
-            near = index.neighbours(seed, used)
+            if seed != asked:
+                score, asked = index.scores(seed), seed
+            near = index.neighbours(score, used)
             if not len(near):
                 seed = None
                 continue
@@ -199,18 +209,27 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     ``ids_crc32`` (of the ids as little-endian unsigned 32-bit words), ``doc_tokens`` (all ids of the
     document, its end id 1 included), ``sequence_id`` and ``offset`` in the sequence. A null or empty text
     is the end id alone. Rows repeated with one id are documents of their own. Sequence ids are unique, not
-    dense: each task counts from its own 2**32 block. An empty table gives an empty result.
+    dense: each range counts from its own 2**32 block. An empty table gives an empty result; further columns are ignored.
     """
     spark = df.sparkSession
     tokens = materialise(tokenise(df, tokenizer or default_tokenizer(), id_col, text_col), "pack-tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    cell = F.shiftright("route", 32 - CELL_BITS).cast("int")
+    # at most 2 ** CELL_BITS rows
+    cells = tokens.groupBy(cell.alias("cell")).agg(F.sum("n").alias("size"))
+    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = materialise(cells.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))), "pack-cells")
+    total = cells.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, math.ceil(total / TOKENS_PER_TASK))
+    parts = F.ceil(F.col("size") / F.lit(TOKENS_PER_TASK))
+    place = F.col("start") + (F.pmod(F.xxhash64("doc_id", "n", "ids"), parts) + 0.5) / parts * F.col("size")
+    task = F.least(F.floor(place / F.lit(TOKENS_PER_TASK)), F.lit(tasks - 1)).cast("int")
+    dealt = tokens.withColumn("cell", cell).join(F.broadcast(cells), "cell").withColumn("task", task).select("task", "route", "doc_id", "n", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, press = Packer(TaskContext.get().partitionId() << 32), zstandard.ZstdDecompressor()
+        packer, press = Packer(0), zstandard.ZstdDecompressor()
         doc_ids: list = []
         docs: list[np.ndarray] = []
-        size = 0
+        size, here = 0, None
 
         def flush() -> pd.DataFrame:
             packer.shard(doc_ids, docs)
@@ -220,7 +239,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             return out
 
         for pdf in batches:
-            for doc_id, raw in zip(pdf["doc_id"], pdf["ids"]):
+            for at, doc_id, raw in zip(pdf["task"], pdf["doc_id"], pdf["ids"]):
+                if at != here:
+                    if docs:
+                        yield flush()
+                        doc_ids, docs, size = [], [], 0
+                    here = at
+                    packer.begin(int(at) << 32)
                 a = np.frombuffer(press.decompress(raw), dtype="<u2")
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 docs.append(a)
@@ -232,5 +257,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             yield flush()
 
     small_batches(spark)
-    ordered = tokens.repartitionByRange(tasks, "route", "doc_id").sortWithinPartitions("route", "doc_id", "n")
+    ordered = dealt.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "route", "doc_id", "n", "ids")
     return ordered.mapInPandas(run, FIELDS)

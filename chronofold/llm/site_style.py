@@ -1,11 +1,15 @@
 """Main text of web pages with site style trees.
 
 The pages of a host are merged into one style tree: its nodes are the element paths (tag with class and id)
-that its pages share. Over the pages that have a node, the entropy of its presentation (the order of its
-children) and of its content (its text) says how important it is: a menu or notice repeats, an article does
-not. Branches of low importance are removed from each page, and with them branches that their element or
-name declares to be no content. What an article or main element holds is content unless such a branch is
-inside it.
+that its pages share. Over the different pages that have a node, the entropy of its presentation (the order of
+its children) and of its content (its text) says how important it is: a menu or notice repeats, an article
+does not. Branches of low importance are removed from each page.
+
+What entropy cannot tell goes by what the page declares: elements that are no content by their meaning (nav,
+footer, form ...), and containers named as adverts, reader comments or consent notices, whose text varies
+although it is no article. Any other name, such as "header" or "related", only counts outside an article or
+main element. Outside such an element, in pages that have one, a branch stays only if the host's pages prove
+it to be important.
 """
 
 from __future__ import annotations
@@ -26,8 +30,12 @@ from .common import materialise, small_batches
 
 #: Share of the importance that content has; the rest is presentation.
 CONTENT_SHARE = 0.9
-#: Branches below this importance go, if at least ``LEAST_PAGES`` pages of the host have them.
-IMPORTANCE, LEAST_PAGES = 0.35, 8
+#: Branches below this importance go. A node of one page has importance one.
+IMPORTANCE = 0.35
+#: Nodes of low or proven importance that are sent to every task, at most; more are dealt to the pages by host.
+BROADCAST_NODES = 300_000
+#: Parts that a host's pages are dealt in when they meet its nodes, so that a hot host is spread.
+SALTS = 64
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +48,10 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("table td th ul ol dl html body article section main div aside nav header footer form blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side header masthead footer foot comment comments comentarios kommentare commentaires disqus respond reply replies cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skip copyright legal".split())
+#: Names that say no content wherever a container has them, and names that say so outside an article only.
+STRONG = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored comment comments comentarios kommentare commentaires disqus respond cookie cookies consent gdpr newsletter subscribe subscription".split())
+WEAK = frozenset("banner promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side header masthead footer foot reply replies notice notification popup modal overlay signup login share sharing social related recommended recommendations widget toolbar pagination pager skip copyright legal".split())
+CONTAINERS = frozenset("div section ul ol dl table aside center iframe fieldset ins".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|([!?][^>]*)(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)(>|\Z)|(/[^A-Za-z][^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -49,28 +60,34 @@ _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
+    """``noise``: 2 no content anywhere, 1 outside an article only, 0 not declared."""
+
     __slots__ = ("tag", "sign", "noise", "children")
 
-    def __init__(self, tag: str, sign: str, noise: bool):
+    def __init__(self, tag: str, sign: str, noise: int):
         self.tag, self.sign, self.noise, self.children = tag, sign, noise, []
 
 
 def _element(tag: str, attributes: str) -> Element:
+    drop = 1 if tag == "header" else 2 if tag in DROP else 0  # an article may have a header of its own
     if not attributes.strip(" /\n\t"):
-        return Element(tag, tag, tag in DROP)
+        return Element(tag, tag, drop)
     got = {}
     for m in _ATTR.finditer(attributes):
         got.setdefault(m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
-    words = set(_WORD.findall(_SPLIT.sub(" ", names).lower()))
+    words = set(_WORD.findall(_SPLIT.sub(" ", names).lower())) if tag not in ("html", "body") else set()
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").lower().replace(" ", "")
-    noise = tag in DROP or hidden or got.get("role", "").lower() in ROLES or (bool(words & NAMES) and tag not in ("html", "body"))
-    return Element(tag, tag + "." + ".".join(names.split()) if names else tag, noise)
+    if hidden or got.get("role", "").lower() in ROLES or (words & STRONG and tag in CONTAINERS):
+        drop = 2
+    elif words & (WEAK | STRONG):
+        drop = max(drop, 1)
+    return Element(tag, tag + "." + ".".join(names.split()) if names else tag, drop)
 
 
 def parse(page: str | None) -> Element:
     """A tree of elements and text pieces; tolerant of unclosed, misnested and cut markup."""
-    root = Element("#root", "", False)
+    root = Element("#root", "", 0)
     stack, text, at, size = [root], page or "", 0, len(page or "")
 
     def close(to: int) -> None:
@@ -121,42 +138,50 @@ def parse(page: str | None) -> Element:
     return root
 
 
-def style_nodes(root: Element) -> dict[str, tuple[int, int]]:
-    """For each element path below the body: hashes of its presentation and of its text, over all its places in the page."""
-    shown: dict[str, list[str]] = {}
-    said: dict[str, list[str]] = {}
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
 
-    def walk(node: Element, path: str, text_of: list[str]) -> None:
-        for c in node.children:
+def style_nodes(root: Element) -> list[tuple[int, int, int]]:
+    """For each element path its hash, and hashes of its presentation and of its text over all its places in the page.
+
+    Walks without recursion, and a node's text is hashed from its children's hashes, so deep pages cost no more.
+    """
+    places: dict[int, list[tuple[int, int]]] = {}
+    stack = [(root, 0, iter(root.children), [])]
+    while stack:
+        node, path, rest, said = stack[-1]
+        for c in rest:
             if isinstance(c, str):
                 if c.strip():
-                    text_of.append(" ".join(c.split()))
+                    said.append(" ".join(c.split()))
             elif c.tag not in RAW and c.tag != "head":
-                inner: list[str] = []
-                here = f"{path}/{c.sign}"
-                walk(c, here, inner)
-                shown.setdefault(here, []).append(",".join(x.sign for x in c.children if isinstance(x, Element)))
-                said.setdefault(here, []).append(" ".join(inner))
-                text_of.extend(inner)
-
-    walk(root, "", [])
-    h = lambda parts: xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
-    return {p: (h(shown[p]), h(said[p])) for p in shown}
-
-
-def main_text(root: Element, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The text left after removing noise and the branches whose path is in ``low``; blocks joined by an empty line."""
+                stack.append((c, _hash(path, c.sign), iter(c.children), []))
+                break
+        else:
+            stack.pop()
+            if stack:
+                words = _hash(*said) if said else 0
+                shown = _hash(*(x.sign for x in node.children if isinstance(x, Element)))
+                places.setdefault(path, []).append((shown, words))
+                if words:
+                    stack[-1][3].append(words)
+    return [(path, _hash(*(a for a, _ in x)), _hash(*(b for _, b in x))) for path, x in places.items()]
+
+
+def main_text(root: Element, importance: dict[int, bool] | None = None) -> str:
+    """The text left after removing noise and unimportant branches; blocks joined by an empty line.
+
+    ``importance`` has the paths that the host's pages prove to be important (True) or of no importance (False).
+    """
+    known = importance or {}
     blocks: list[str] = []
     run: list[str] = []
-    has_content = [False]
-
-    def look(node: Element) -> None:
-        for c in node.children:
-            if isinstance(c, Element):
-                has_content[0] |= c.tag in CONTENT and not c.noise
-                look(c)
-
-    look(root)
+    has_content, queue = False, [root]
+    while queue and not has_content:
+        inner = [c for c in queue.pop().children if isinstance(c, Element) and c.noise < 2]
+        has_content = any(c.tag in CONTENT for c in inner)
+        queue += inner
 
     def flush() -> None:
         block = " ".join("".join(run).split())
@@ -164,30 +189,34 @@ def main_text(root: Element, low: frozenset[str] | set[str] = frozenset()) -> st
         if block:
             blocks.append(block)
 
-    def walk(node: Element, path: str, inside: bool) -> None:
-        for c in node.children:
+    # node, its path, the children to come, whether inside content, whether its text is read
+    stack = [(root, 0, iter(root.children), False, not has_content)]
+    while stack:
+        node, path, rest, inside, read = stack[-1]
+        for c in rest:
             if isinstance(c, str):
-                if inside or not has_content[0]:
+                if read:
                     run.append(entities.unescape(c))
                 continue
-            here = f"{path}/{c.sign}"
+            here = _hash(path, c.sign)
             content = inside or c.tag in CONTENT
             # inside an article only branches with a presentation of their own can be told from its text
-            poor = here in low and (not content or (inside and "." in c.sign))
-            if c.noise or c.tag in DROP or poor:
+            poor = known.get(here) is False and (not content or (inside and "." in c.sign))
+            if c.noise == 2 or poor or (c.noise == 1 and not inside):
                 if c.tag not in INLINE:
                     flush()
                 continue
-            block = c.tag not in INLINE
-            if block:
+            if c.tag not in INLINE:
                 flush()
             elif c.tag == "br":
                 run.append(" ")
-            walk(c, here, content)
-            if block:
+            proven = known.get(here) is True and c.tag not in ("html", "body")
+            stack.append((c, here, iter(c.children), content, content or read or proven))
+            break
+        else:
+            if node.tag not in INLINE:
                 flush()
-
-    walk(root, "", False)
+            stack.pop()
     flush()
     return "\n\n".join(blocks)
 
@@ -202,9 +231,9 @@ def _host(url: str | None) -> str:
 def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host, path, pages, importance``: the merged style trees of all hosts.
 
-    importance = (1 - CONTENT_SHARE) * H(presentation) / log m + CONTENT_SHARE * H(content) / log m over the
-    m pages that have the node; 1 where m = 1. Counts are made per (host, path, hash), so a host with a third
-    of all pages is spread over all tasks.
+    importance = (1 - CONTENT_SHARE) * H(presentation) / log m + CONTENT_SHARE * H(content) / log m over the m
+    different pages that have the node; 1 where m = 1. Pages of a host that are copies of each other count once.
+    Counts are made per (host, path, hash), so a host with a third of all pages is spread over all tasks.
     """
     small_batches(df.sparkSession)
 
@@ -212,13 +241,14 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for pdf in batches:
             rows = []
             for url, page in zip(pdf["url"], pdf["html"]):
-                host = _host(url)
-                for path, (shown, said) in style_nodes(parse(page)).items():
-                    rows += [(host, path, 0, shown), (host, path, 1, said)]
-            yield pd.DataFrame(rows, columns=["host", "path", "part", "hash"])
-
-    nodes = df.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "host string, path string, part int, hash long")
-    counts = nodes.groupBy("host", "path", "part", "hash").agg(F.count("*").alias("c"))
+                nodes = np.array(style_nodes(parse(page)), dtype="<i8").reshape(-1, 3)
+                rows.append((_host(url), _hash(page or ""), nodes[:, 0], nodes[:, 1], nodes[:, 2]))
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "shown", "said"])
+
+    pages = df.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "host string, page long, path array<long>, shown array<long>, said array<long>")
+    nodes = pages.dropDuplicates(["host", "page"]).select("host", F.explode(F.arrays_zip("path", "shown", "said")).alias("n"))
+    nodes = nodes.select("host", "n.path", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("n.shown").alias("hash")), F.struct(F.lit(1).alias("part"), F.col("n.said").alias("hash")))).alias("x"))
+    counts = nodes.groupBy("host", "path", "x.part", "x.hash").agg(F.count("*").alias("c"))
     spread = counts.groupBy("host", "path", "part").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     share = F.when(F.col("part") == 1, CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
     entropy = F.when(F.col("m") == 1, 1.0).otherwise((F.log("m") - F.col("clogc") / F.col("m")) / F.log("m"))
@@ -231,19 +261,47 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     Returns one row per input row: id, url, ``text`` (character references decoded, white space inside a
     block one space, blocks in page order joined by two newlines; empty if none) and ``n_chars``. Null or
     empty html gives empty text; pages whose url is null or has no host form one tree. Repeated rows are
-    extracted each; an empty table gives an empty result; further columns are ignored.
+    extracted each, but count once in the tree; an empty table gives an empty result; further columns are ignored.
     """
-    tree = materialise(style_tree(df, url_col, html_col), "style-tree")
-    low = (tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < IMPORTANCE))
-           .groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")))
-    get_host = F.pandas_udf(lambda s: s.map(_host), "string")
-    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    pages = pages.withColumn("host", get_host(F.col("url").cast("string"))).join(low, "host", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = df.sparkSession
+    tree = materialise(style_tree(df, url_col, html_col).where("pages > 1").select("host", "path", (F.col("importance") >= IMPORTANCE).alias("high")), "style-tree")
+    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    fields = "id long, url string, text string, n_chars long"
+
+    if tree.count() <= BROADCAST_NODES:
+        known: dict[str, dict[int, bool]] = {}
+        for r in tree.collect():
+            known.setdefault(r["host"], {})[r["path"]] = r["high"]
+        shared = spark.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                texts = [main_text(parse(page), shared.value.get(_host(url))) for url, page in zip(pdf["url"], pdf["html"])]
+                yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+        return pages.mapInPandas(run, fields).withColumnRenamed("id", id_col)
+
+    # a part of a host's pages comes after the host's nodes, so a task holds one host's nodes and one batch of pages
+    nodes = tree.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "path", "high",
+                        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    get_host = F.pandas_udf(lambda x: x.map(_host), "string")
+    dealt = pages.select(get_host("url").alias("host"), F.pmod(F.xxhash64("id", "url", F.length("html")), F.lit(SALTS)).cast("int").alias("salt"),
+                         F.lit(None).cast("long").alias("path"), F.lit(None).cast("boolean").alias("high"), "id", "url", "html")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, known = None, {}
         for pdf in batches:
-            texts = [main_text(parse(page), frozenset(x) if isinstance(x, (np.ndarray, list)) else frozenset()) for page, x in zip(pdf["html"], pdf["low"])]
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    out = pages.select("id", "url", "html", "low").mapInPandas(run, "id long, url string, text string, n_chars long")
-    return out.withColumnRenamed("id", id_col)
+            out = []
+            for host, salt, path, high, pid, url, page in zip(*(pdf[c] for c in ("host", "salt", "path", "high", "id", "url", "html"))):
+                if (host, salt) != here:
+                    here, known = (host, salt), {}
+                if high is not None and not pd.isna(high):
+                    known[int(path)] = bool(high)
+                else:
+                    text = main_text(parse(page), known)
+                    out.append((None if pd.isna(pid) else int(pid), url, text, len(text)))
+            got = pd.DataFrame(out, columns=["id", "url", "text", "n_chars"])
+            yield got.astype({"id": "Int64", "n_chars": "int64"})
+
+    both = nodes.unionByName(dealt).withColumn("path", F.col("path").cast("decimal(20,0)").cast("string")).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("high").isNull())
+    return both.mapInPandas(meet, fields).withColumnRenamed("id", id_col)

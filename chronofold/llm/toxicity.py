@@ -1,14 +1,15 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
-
-Training, on a bounded sample of labelled rows. Labels mark documents, not passages, so the toxic passages
-are found first: word beginnings that occur in many different contexts of toxic documents and in few of
-ordinary ones (a copy repeats its contexts, so groups of copies count once). One zstandard dictionary
-holds the words that have such beginnings, the other the most frequent words of ordinary text.
-
-Scoring, on whole texts: each window (one word between spaces, after a fixed lead that both dictionaries
-know, so that short windows are not stored raw) is compressed with either dictionary. A window is toxic if
-the toxic dictionary saves at least ``gap`` bytes on it and leaves at most ``longest``. Both bounds and the
-logistic curve from a document's toxic windows to its score are calibrated on the training sample.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+Training, on a bounded sample of labelled rows. Labels mark documents, not passages, so the passages that make
+a document toxic are found first: word beginnings that stand beside many different words in toxic documents and
+beside few in ordinary ones (copies repeat the words beside it, so groups of copies count once). One zstandard
+dictionary is trained on these passages, another on the windows of ordinary text.
+
+Scoring, on whole texts: every window of ``WINDOW`` words (a long run without spaces is cut) is compressed
+twice, with the ordinary dictionary alone and with the toxic one in front of it; what the toxic dictionary
+saves is the window's distance. A document's score is a logistic function of how many of its windows save at
+least each of the ``GAPS``. It is calibrated on a quarter of the training texts, measured with dictionaries of
+the others, so that no text is judged by a dictionary that holds it; the final dictionaries hold all.
 """
 
 from __future__ import annotations
@@ -26,158 +27,170 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 #: Labelled rows of each class used for training, at most, and the characters that they may hold together. Rows are
-#: taken in hash order while they fit; the texts taken are read whole.
+#: taken in hash order, leaving out those that do not fit; the texts taken are read whole.
 MAX_DOCS = 2500
 MAX_TRAIN_CHARS = 24_000_000
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 16384
-LEVEL = 3
-LEAD = b"\n0123456789abcdef#=window=#9876543210\n"
+TOXIC_BYTES, ORDINARY_BYTES = 4096, 32768
+#: Bytes saved that the windows are counted by; one in so many training texts calibrates instead of training.
+GAPS = (2, 3, 4, 5)
+FOLDS = 4
+#: Windows of ordinary text that its dictionary is trained on, at most; evenly spread over all.
+MOST_SAMPLES = 100_000
+#: The same search for both dictionaries, thorough enough that neither misses a match that it holds.
+SEARCH = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
+#: Words of a window and between the starts of two; characters of a window of a run without spaces.
+WINDOW, STEP, RUN = 2, 1, 32
+#: Both dictionaries end with this and every window stands between two of it: inputs of a few bytes are stored raw, and
+#: a match is not looked for in an input's last eight bytes.
+LEAD = b"\n0123456789ab\n"
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-¿¡«»"
-#: Window results a worker remembers before it starts anew.
-CACHE = 400_000
 SHORTEST, LONGEST = 3, 12
+#: Places around a word whose words are counted: a phrase that always repeats varies at its edges only.
+AROUND = (-2, -1, 1, 2)
 
 
 def _words(text: str) -> list[str]:
     return [w.strip(EDGES) for w in text.lower().split()]
 
 
-def _contexts(texts: list[str]) -> Counter:
-    """For each word beginning the number of different words that follow it, over all texts."""
-    seen: defaultdict[str, set[int]] = defaultdict(set)
+def windows(text: str | None) -> Iterator[bytes]:
+    """The lower-cased text's windows as UTF-8; they overlap and cover all of it."""
+    words = (text or "").lower().split()
+    for at in range(0, max(1, len(words) - WINDOW + STEP) if words else 0, STEP):
+        part = " ".join(words[at : at + WINDOW])
+        if len(part) <= WINDOW * RUN:
+            yield part.encode("utf-8", "surrogatepass")
+        else:
+            for k in range(0, len(part), RUN // 2):
+                yield part[k : k + RUN].encode("utf-8", "surrogatepass")
+
+
+def _beginnings(word: str) -> list[str]:
+    return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
+
+
+def _beside(texts: list[str], wanted: set[str] | None = None) -> dict[str, int]:
+    """For each word beginning (of those wanted) the most different words that stand at one of the places around it."""
+    near: dict[str, tuple[set[str], ...] | None] = {}
     for t in texts:
-        words = _words(t)
-        for w, after in zip(words, words[1:] + [""]):
-            mark = zlib.crc32(after.encode("utf-8", "surrogatepass"))
-            for k in range(SHORTEST, min(len(w), LONGEST) + 1):
-                seen[w[:k]].add(mark)
-    return Counter({g: len(s) for g, s in seen.items()})
+        words = ["", "", *_words(t), "", ""]
+        for k in range(2, len(words) - 2):
+            w = words[k]
+            if w not in near:
+                near[w] = tuple(set() for _ in AROUND) if wanted is None or any(g in wanted for g in _beginnings(w)) else None
+            if near[w] is not None:
+                for place, seen in zip(AROUND, near[w]):
+                    seen.add(words[k + place])
+    begins: defaultdict[str, list[tuple[set[str], ...]]] = defaultdict(list)
+    for w, seen in near.items():
+        if seen is not None:
+            for g in _beginnings(w):
+                begins[g].append(seen)
+    return {g: max(len(set().union(*(seen[k] for seen in all_seen))) for k in range(len(AROUND))) for g, all_seen in begins.items()}
 
 
 def _toxic_beginnings(toxic: list[str], ordinary: list[str]) -> set[str]:
-    a, b = _contexts(toxic), _contexts(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
     least = max(4, 0.01 * na)
-    return {g for g, n in a.items() if n >= least and n / na >= 8 * max(b[g], 0.5) / nb}
+    a = {g: n for g, n in _beside(toxic).items() if n >= least}
+    b = _beside(ordinary, set(a))
+    return {g for g, n in a.items() if n / na >= 8 * max(b.get(g, 0), 0.5) / nb}
 
 
-def _dictionary(words: list[str], size: int) -> bytes:
-    """Raw dictionary content, the most frequent words nearest to its end."""
-    out: list[bytes] = []
-    left = size - len(LEAD)
-    for w in words:
-        piece = b" " + w.encode("utf-8", "surrogatepass")
-        if len(piece) > left:
-            break
-        out.append(piece)
-        left -= len(piece)
-    return b"".join(reversed(out)) + b" " + LEAD
+def _train(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of the samples; of too few for training, the samples themselves."""
+    flat = b"".join(samples)
+    if len(samples) >= 100:
+        try:
+            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()[-size:]
+        except zstandard.ZstdError:
+            pass
+    return flat[-size:]
 
 
 @dataclass
 class ToxicModel:
     toxic: bytes
     ordinary: bytes
-    gap: int
-    longest: int
-    weights: tuple[float, float]  # intercept, slope on log(1 + toxic windows)
+    weights: tuple[float, ...]  # intercept, and one weight for log(1 + windows) of each gap and of all
 
     def compressors(self):
         out = []
-        for data in (self.ordinary, self.toxic):
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+        for data in (self.ordinary, self.toxic + self.ordinary):
+            d = zstandard.ZstdCompressionDict(data + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=params)
+            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
         return out
 
 
-class WindowScorer(dict):
-    """Whether a window is toxic, remembered by its word."""
+class WindowScorer:
+    """Measures the windows of texts with both dictionaries."""
 
     def __init__(self, model: ToxicModel):
-        super().__init__()
-        self.gap, self.longest = model.gap, model.longest
-        self.ordinary, self.toxic = model.compressors()
-
-    def measure(self, word: str) -> tuple[int, int]:
-        """Bytes that the toxic dictionary saves on the word's window, and bytes that it leaves; too short a word saves none."""
-        core = word.strip(EDGES)
-        if len(core) < SHORTEST:
-            return 0, 1 << 20
-        # the lead follows again, as a match is not looked for in the last eight bytes of an input
-        window = LEAD + b" " + core.encode("utf-8", "surrogatepass") + b" " + LEAD
-        left = len(self.toxic.compress(window))
-        return len(self.ordinary.compress(window)) - left, left
-
-    def __missing__(self, word: str) -> bool:
-        saved, left = self.measure(word)
-        toxic = saved >= self.gap and left <= self.longest
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = toxic
-        return toxic
-
-    def hits(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, (text or "").lower().split()))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Intercept, slope and log loss of a slightly regularised one-feature logistic fit."""
-    w = np.zeros(2)
-    d = np.stack([np.ones(len(x)), x], axis=1)
-    for _ in range(30):
+        ordinary, toxic = model.compressors()
+        self.weights, self.ordinary, self.toxic = np.array(model.weights), ordinary.compress, toxic.compress
+
+    def savings(self, text: str | None) -> list[int]:
+        one, two = self.ordinary, self.toxic
+        return [len(one(w)) - len(two(w)) for w in (LEAD + x + LEAD for x in windows(text))]
+
+    def counts(self, text: str | None) -> list[int]:
+        """How many windows save at least each of the gaps, and how many windows there are."""
+        saved = self.savings(text)
+        return [*(sum(s >= gap for s in saved) for gap in GAPS), len(saved)]
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.log1p(counts) @ self.weights[1:], -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intercept and weights of a slightly regularised logistic fit."""
+    d = np.c_[np.ones(len(x)), x]
+    w, ridge = np.zeros(d.shape[1]), np.r_[1e-4, np.full(x.shape[1], 1e-3)]
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        h = (d * (p * (1 - p))[:, None]).T @ d + np.diag([1e-3, 1e-2])
-        w = w - np.linalg.solve(h, d.T @ (p - y) + np.array([1e-3, 1e-2]) * w)
-    p = np.clip(1 / (1 + np.exp(-np.clip(d @ w, -30, 30))), 1e-6, 1 - 1e-6)
-    return float(w[0]), float(w[1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+        w -= np.linalg.solve((d.T * (p * (1 - p))) @ d / len(y) + np.diag(ridge), d.T @ (p - y) / len(y) + ridge * w)
+    return w
 
 
-def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> ToxicModel:
-    """Train on two lists of texts. ``prior`` is the share of toxic rows among all labelled ones."""
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The dictionary of the toxic passages of the toxic texts, and that of the ordinary texts' windows."""
     begins = _toxic_beginnings(toxic, ordinary)
+    bad = [b" " + w.encode("utf-8", "surrogatepass") + b" " for t in toxic for w in _words(t) if any(g in begins for g in _beginnings(w))]
+    good = {w: None for t in ordinary for w in windows(t)}  # each once: copies say nothing new
+    step = max(1, len(good) // MOST_SAMPLES)
+    return _train(bad, TOXIC_BYTES), _train(list(good)[::step], ORDINARY_BYTES)
 
-    def marked(w: str) -> bool:
-        return any(w[:k] in begins for k in range(SHORTEST, min(len(w), LONGEST) + 1))
 
-    bad, good = Counter(), Counter()
-    for t in toxic:
-        bad.update(w for w in _words(t) if len(w) >= SHORTEST and marked(w))
-    for t in ordinary:
-        good.update(w for w in _words(t) if len(w) >= SHORTEST and not marked(w))
-    first = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    model = ToxicModel(_dictionary(first(bad), TOXIC_BYTES), _dictionary(first(good), ORDINARY_BYTES), 1, 1 << 16, (0.0, 0.0))
+def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> ToxicModel:
+    """Train on two lists of texts. ``prior`` is the share of toxic rows among all labelled ones."""
+    none = (0.0,) * (2 + len(GAPS))
+    model = ToxicModel(*dictionaries(toxic, ordinary), none)
     if not toxic or not ordinary:
         p = 0.999 if toxic else 0.001
-        model.weights = (math.log(p / (1 - p)), 0.0)
+        model.weights = (math.log(p / (1 - p)), *none[1:])
         return model
-    scorer = WindowScorer(model)
-    counts = [Counter(t.lower().split()) for t in toxic + ordinary]
-    measured = {w: scorer.measure(w) for w in set().union(*counts)}
-    tables = [np.array([(*measured[w], n) for w, n in c.items()], dtype=np.int64).reshape(-1, 3) for c in counts]
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    share = len(toxic) / len(y)
-    least = min(left for _, left in measured.values()) if measured else 0
-    best = None
-    for gap in range(1, 9):
-        for longest in range(least, least + 9):
-            x = np.log1p(np.array([m[(m[:, 0] >= gap) & (m[:, 1] <= longest), 2].sum() for m in tables], dtype=float))
-            w0, w1, loss = _logistic(x, y)
-            if best is None or loss < best[0]:
-                best = (loss, gap, longest, w0, w1)
-    _, model.gap, model.longest, w0, w1 = best
+    x: list[list[int]] = []
+    y: list[float] = []
+    part = ToxicModel(*dictionaries(*([t for k, t in enumerate(texts) if k % FOLDS] for texts in (toxic, ordinary))), none)
+    for label, texts in ((1.0, toxic[::FOLDS]), (0.0, ordinary[::FOLDS])):
+        x += map(WindowScorer(part).counts, texts)
+        y += [label] * len(texts)
+    truth = np.array(y)
+    weights, share = _logistic(np.log1p(np.array(x, dtype=float)), truth), truth.mean()
     if prior is not None and 0 < prior < 1:  # the sample is balanced anew
-        w0 += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
-    model.weights = (w0, w1)
+        weights[0] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
+    model.weights = tuple(weights.tolist())
     return model
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_col: str, label_col: str, limit: int = MAX_DOCS, chars: int = MAX_TRAIN_CHARS):
-    """Up to ``limit`` whole texts of each class, and ``chars`` characters, among labelled rows that satisfy ``where``, first by hash; and the toxic share."""
+    """Up to ``limit`` whole texts of each class, and ``chars`` characters, among labelled rows that satisfy ``where``, first by hash; and the toxic share.
+
+    A text that alone exceeds the bound is left out and does not count. Rows without a text or with an id that is null are ignored.
+    """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).alias("y"))
              .withColumn(id_col, F.col("lid")).where(where))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -185,10 +198,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(limit).select("lid", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
-    known_texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["lid"]).where(F.col(text_col).isNotNull()).select("lid", "y", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text"))
+    known_texts = texts.join(F.broadcast(chosen), texts["did"] == chosen["lid"]).where(F.col("text").isNotNull()).select("lid", "y", "text")
     # only lengths are ordered; texts that would exceed the bound are left out before anything is collected
     so_far = F.sum("n").over(W.partitionBy("y").orderBy(F.xxhash64("lid"), "lid", "crc").rowsBetween(W.unboundedPreceding, W.currentRow))
-    sizes = known_texts.select("lid", "y", F.length("text").cast("long").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    sizes = known_texts.select("lid", "y", F.length("text").cast("long").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc")).where(F.col("n") <= chars)
     fits = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("lid", "crc").distinct()
     rows = known_texts.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(F.broadcast(fits), ["lid", "crc"]).select("lid", "y", "text").collect()
     rows.sort(key=lambda r: (r["lid"], r["text"]))
@@ -200,17 +214,15 @@ def training_texts(docs: DataFrame, labels: DataFrame, where, id_col: str, text_
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``id_col``, ``score`` (0..1), ``predicted`` (1 if score >= threshold) and ``toxic_windows`` for every row.
 
-    Null and empty texts have no window and get the score of a text without toxic windows. Further columns
-    are ignored; repeated rows are scored each; an empty table gives an empty result.
+    Null and empty texts have no window and get the score of a text without toxic windows. Ties do not
+    arise: rows are scored one by one, repeated ones each. Further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = WindowScorer(model)
         for pdf in batches:
-            hits = np.array([scorer.hits(t) for t in pdf["text"]], dtype=np.int64)
-            p = 1 / (1 + np.exp(-np.clip(model.weights[0] + model.weights[1] * np.log1p(hits), -30, 30)))
-            yield pd.DataFrame({"id": pdf["id"], "score": p, "toxic_windows": hits})
+            counts = np.array([scorer.counts(t) for t in pdf["text"]], dtype=np.int64).reshape(len(pdf), 1 + len(GAPS))
+            yield pd.DataFrame({"id": pdf["id"], "score": scorer.score(counts), "toxic_windows": counts[:, 0]})
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double, toxic_windows long")
     return out.select(F.col("id").alias(id_col), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "toxic_windows")
