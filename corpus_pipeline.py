@@ -1,83 +1,5 @@
-"""A corpus pipeline over ``documents``: identify languages, drop near copies, redact personal data, mix, pack.
+"""The corpus pipeline: its stages and ``run`` are in ``chronofold.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as
-Parquet in the shared folder and reads it back as the next stage's input.
-"""
+from chronofold.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from chronofold.llm import language_id, mixing, packing, pii, simhash
-from chronofold.llm.common import materialise, small_batches, table
-
-#: Share of a text's n-grams that its language's filter must hold. In sf0.1 the least of 6000 documents has 0.28, of texts
-#: of under 100 n-grams only licence lines, addresses and secrets are below 0.6; noise of 5 words has 0.18 at most.
-KNOWN = 0.25
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents in none of the corpus's languages: no letter, or too few n-grams that the best filter holds."""
-    masks = language_id.fit(docs, F.lit(True))
-    out = language_id.identify(docs.withColumn("_body", F.col("text")), masks, text_col="_body", keep=tuple(c for c in COLUMNS if c != "doc_id"), least=KNOWN)
-    return out.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group (five-word shingles, similarity 0.8 or more) stays: one with the smallest id, if any has one."""
-    rows = simhash.similar_rows(docs.select("doc_id", "text"), words=5).groupBy("part", "doc_id", "k1", "k2").agg(F.count("*").alias("copies"))
-    least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "copies")).alias("row"))
-    kept = materialise(least.select(F.col("row.doc_id").alias("id"), F.col("row.k1").alias("a"), F.col("row.k2").alias("b"), "row.copies"), "kept-rows")
-    # a merge join at every size: the kept rows grow with the documents, so they must not be broadcast
-    docs = docs.select(*COLUMNS, *simhash.text_key("text")).hint("merge")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))
-    once, more = (docs.join(kept.where(which).drop("copies"), same, "left_semi") for which in ("copies = 1", "copies > 1"))
-    return once.unionByName(more.dropDuplicates(["doc_id", "k1", "k2"])).select(*COLUMNS)
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every span of personal data by its kind; no document goes. Texts stay where they are: no shuffle."""
-    small_batches(spark)
-    good = pii.accepted(pii.candidates(docs.select("doc_id", "text")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["text"] = [pii.redact(t, pii.spans_of(t, good)) for t in pdf["text"]]
-            yield pdf
-
-    return docs.select(*COLUMNS).mapInPandas(run, docs.select(*COLUMNS).schema).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that each source's words come near its target."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("k")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("k")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("language", keep_known_languages),
-    ("near_copies", drop_near_copies),
-    ("personal_data", redact_personal_data),
-    ("mix", mix_sources),
-    ("pack", pack_sequences),
-]
-
-#: SQL can express neither the language filter nor the packing; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
