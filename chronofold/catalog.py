@@ -13,6 +13,16 @@ FLAGSHIP = "hybrid_search"
 MODULES = (temporal, text, pairs, ranking, metrics, datasets)
 
 
+def apply(spark, name: str, sf_dir: str | None = None, **inputs):
+    """Run one operator on the caller's DataFrames.
+
+    ``inputs`` are given under the name of a table or relation of the plan: ``said(bank, ord, day, text)``,
+    ``asked(qid, bank, day, question, answer)``, ``phrases(id, phrase, today)`` or any driver table. Tables
+    that are not given are read from ``sf_dir``.
+    """
+    return run(spark, sf_dir, plans()[name], inputs)
+
+
 def queries() -> dict:
     return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries()
 

@@ -42,19 +42,22 @@ def fold_bank(facts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bank", "ord", "status", "duplicate_of", "retired"]).astype({"duplicate_of": "Int64"})
 
 
-def remember_trace(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+def remember_trace(spark: SparkSession, sf_dir: str | None, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """What happened to every statement as it was written, bank by bank."""
-    statement = lambda tail: f"WITH {said()}, {judged(dialect.SPARK)} {tail}"
-    facts = spark.sql(statement("SELECT bank, ord, day, text, directive FROM features"))
-    pairs = spark.sql(statement("SELECT bank, new_ord, old_ord, reason, j FROM verdicts"))
+    def rows(tail: str) -> DataFrame:
+        return dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)}, {judged(d)} {tail}", inputs)
+
+    facts = rows("SELECT bank, ord, day, text, directive FROM features")
+    # only what can block or retire travels to the fold
+    pairs = rows(f"SELECT bank, new_ord, old_ord, reason, j FROM verdicts WHERE reason IN {REPLACES} OR (reason = 'none' AND j >= {DUPLICATE})")
     return facts.groupBy("bank").cogroup(pairs.groupBy("bank")).applyInPandas(fold_bank, TRACE)
 
 
-def import_summary(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+def import_summary(spark: SparkSession, sf_dir: str | None, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Counts of a bulk import per bank."""
     count = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0))
     retired = F.sum(F.size(F.filter(F.split("retired", ","), lambda x: x != "")))
-    return remember_trace(spark).groupBy("bank").agg(count("stored").alias("stored"), count("duplicate").alias("duplicates"), count("rejected").alias("rejected"), retired.alias("superseded"))
+    return remember_trace(spark, sf_dir, inputs).groupBy("bank").agg(count("stored").alias("stored"), count("duplicate").alias("duplicates"), count("rejected").alias("rejected"), retired.alias("superseded"))
 
 
 def live_set_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ MERGED = values("merged", "bank, folder, into_folder", [(3, "f5", "f2"), (3, "f6
 
 @plan
 def filing_violations(d):
-    return f"""WITH {said()}, {FILED}, {FOLDERS}, k AS (SELECT DISTINCT bank, folder FROM folders) SELECT CAST(s.bank AS BIGINT) AS bank, CAST(s.ord AS BIGINT) AS fact, 'not_filed' AS rule FROM said s LEFT JOIN filed f ON f.bank = s.bank AND f.fact = s.ord WHERE f.fact IS NULL
+    return f"""WITH {said(d)}, {FILED}, {FOLDERS}, k AS (SELECT DISTINCT bank, folder FROM folders) SELECT CAST(s.bank AS BIGINT) AS bank, CAST(s.ord AS BIGINT) AS fact, 'not_filed' AS rule FROM said s LEFT JOIN filed f ON f.bank = s.bank AND f.fact = s.ord WHERE f.fact IS NULL
       UNION ALL SELECT CAST(f.bank AS BIGINT), CAST(f.fact AS BIGINT), 'unknown_folder' FROM filed f LEFT JOIN k ON k.bank = f.bank AND k.folder = f.folder WHERE k.folder IS NULL UNION ALL SELECT CAST(bank AS BIGINT), CAST(fact AS BIGINT), 'no_slot' FROM filed WHERE slot IS NULL"""
 
 
@@ -33,7 +33,7 @@ def folder_index(d):
 @plan
 def named_folders(d):
     """Capitalised names of each bank get folders numbered by first use."""
-    return f"""WITH {said()}, w AS (SELECT bank, w, min(ord) AS first_ord FROM said {d.explode(d.map(d.found('text', '[a-z] [A-Z][a-z]+'), 'substr(x, 3)'), 'w')} GROUP BY bank, w) SELECT CAST(bank AS BIGINT) AS bank, w AS name, CAST(row_number() OVER (PARTITION BY bank ORDER BY first_ord, w) AS BIGINT) AS number FROM w"""
+    return f"""WITH {said(d)}, w AS (SELECT bank, w, min(ord) AS first_ord FROM said {d.explode(d.map(d.found('text', '[a-z] [A-Z][a-z]+'), 'substr(x, 3)'), 'w')} GROUP BY bank, w) SELECT CAST(bank AS BIGINT) AS bank, w AS name, CAST(row_number() OVER (PARTITION BY bank ORDER BY first_ord, w) AS BIGINT) AS number FROM w"""
 
 
 @plan
@@ -47,14 +47,14 @@ def canonical_folders(d):
 def identity_rows(d):
     """One decision per statement: how many folders its words name, and which if one."""
     s = T.spaced(d, "s.text")
-    return f"""WITH {said()}, {FOLDERS}, h AS (SELECT s.bank, s.ord, count(DISTINCT f.folder) AS n, min(f.folder) AS one FROM said s LEFT JOIN folders f ON f.bank = s.bank AND f.kind <> 'speaker' AND contains({s}, {T.spaced(d, 'f.alias')}) GROUP BY s.bank, s.ord)
+    return f"""WITH {said(d)}, {FOLDERS}, h AS (SELECT s.bank, s.ord, count(DISTINCT f.folder) AS n, min(f.folder) AS one FROM said s LEFT JOIN folders f ON f.bank = s.bank AND f.kind <> 'speaker' AND contains({s}, {T.spaced(d, 'f.alias')}) GROUP BY s.bank, s.ord)
       SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, n, CASE WHEN n = 0 THEN 'speaker' WHEN n = 1 THEN one ELSE 'ask' END AS decision FROM h"""
 
 
 @plan
 def pick_folder_rule(d):
     s = T.spaced(d, "q.question")
-    return f"""WITH {asked()}, {FOLDERS}, h AS (SELECT q.qid, count(DISTINCT f.folder) AS n, min(f.folder) AS one FROM asked q LEFT JOIN folders f ON f.bank = q.bank AND f.kind <> 'speaker' AND contains({s}, {T.spaced(d, 'f.alias')}) GROUP BY q.qid) SELECT CAST(qid AS BIGINT) AS qid, CASE WHEN n = 0 THEN 'new_or_speaker' WHEN n = 1 THEN one ELSE 'ask' END AS choice FROM h"""
+    return f"""WITH {asked(d)}, {FOLDERS}, h AS (SELECT q.qid, count(DISTINCT f.folder) AS n, min(f.folder) AS one FROM asked q LEFT JOIN folders f ON f.bank = q.bank AND f.kind <> 'speaker' AND contains({s}, {T.spaced(d, 'f.alias')}) GROUP BY q.qid) SELECT CAST(qid AS BIGINT) AS qid, CASE WHEN n = 0 THEN 'new_or_speaker' WHEN n = 1 THEN one ELSE 'ask' END AS choice FROM h"""
 
 
 @plan
@@ -66,7 +66,7 @@ def index_tags(d):
 
 @plan
 def filed_card_text(d):
-    return f"WITH {FILED}, {FOLDERS}, n AS (SELECT bank, folder, min(name) AS name FROM folders GROUP BY bank, folder), {said()} SELECT CAST(f.bank AS BIGINT) AS bank, CAST(f.fact AS BIGINT) AS fact, concat(coalesce(n.name, f.folder), ' | ', coalesce(f.slot, 'details'), ' | ', s.text) AS card FROM filed f JOIN said s ON s.bank = f.bank AND s.ord = f.fact LEFT JOIN n ON n.bank = f.bank AND n.folder = f.folder"
+    return f"WITH {FILED}, {FOLDERS}, n AS (SELECT bank, folder, min(name) AS name FROM folders GROUP BY bank, folder), {said(d)} SELECT CAST(f.bank AS BIGINT) AS bank, CAST(f.fact AS BIGINT) AS fact, concat(coalesce(n.name, f.folder), ' | ', coalesce(f.slot, 'details'), ' | ', s.text) AS card FROM filed f JOIN said s ON s.bank = f.bank AND s.ord = f.fact LEFT JOIN n ON n.bank = f.bank AND n.folder = f.folder"
 
 
 @plan
@@ -80,13 +80,13 @@ def case_map(d):
 @plan
 def replaces_ancestors(d):
     """Everything a fact replaced, directly or through others."""
-    return f"""WITH RECURSIVE {said()}, {judged(d)}, e AS (SELECT DISTINCT bank, new_ord, old_ord FROM verdicts WHERE reason IN {REPLACES}), r(bank, ord, ancestor, depth) AS (SELECT bank, new_ord AS ord, old_ord AS ancestor, 1 AS depth FROM e UNION ALL SELECT r.bank, r.ord, e.old_ord, r.depth + 1 FROM r JOIN e ON e.bank = r.bank AND e.new_ord = r.ancestor WHERE r.depth < 12)
+    return f"""WITH RECURSIVE {said(d)}, {judged(d)}, e AS (SELECT DISTINCT bank, new_ord, old_ord FROM verdicts WHERE reason IN {REPLACES}), r(bank, ord, ancestor, depth) AS (SELECT bank, new_ord AS ord, old_ord AS ancestor, 1 AS depth FROM e UNION ALL SELECT r.bank, r.ord, e.old_ord, r.depth + 1 FROM r JOIN e ON e.bank = r.bank AND e.new_ord = r.ancestor WHERE r.depth < 12)
       SELECT bank, ord, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY bank, ord, ancestor"""
 
 
 @plan
 def scenario_violations(d):
-    return f"""WITH {said()}, {asked()}, o AS (SELECT bank, ord, CAST(day AS DATE) AS day, lag(CAST(day AS DATE)) OVER (PARTITION BY bank ORDER BY ord) AS before FROM said)
+    return f"""WITH {said(d)}, {asked(d)}, o AS (SELECT bank, ord, CAST(day AS DATE) AS day, lag(CAST(day AS DATE)) OVER (PARTITION BY bank ORDER BY ord) AS before FROM said)
       SELECT 'dates_go_back' AS rule, CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ref FROM o WHERE day < before UNION ALL SELECT 'answer_after_question', CAST(q.bank AS BIGINT), CAST(q.qid AS BIGINT) FROM asked q JOIN said s ON s.bank = q.bank AND s.ord = q.answer WHERE CAST(s.day AS DATE) > CAST(q.day AS DATE)
       UNION ALL SELECT 'answer_missing', CAST(q.bank AS BIGINT), CAST(q.qid AS BIGINT) FROM asked q LEFT JOIN said s ON s.bank = q.bank AND s.ord = q.answer WHERE s.ord IS NULL UNION ALL SELECT 'too_long', CAST(bank AS BIGINT), CAST(ord AS BIGINT) FROM said WHERE length(text) > 40 UNION ALL SELECT 'event_repeats', max(user_id), max(event_id) FROM events GROUP BY event_id HAVING count(*) > 1"""
 
@@ -94,7 +94,7 @@ def scenario_violations(d):
 @plan
 def reconcile_answers(d):
     """Answers that did not stand on the day the question asks about are dropped."""
-    return f"""WITH {said()}, {asked()}, {judged(d)}, e AS (SELECT bank, old_ord, min(new_ord) AS new_ord FROM verdicts WHERE reason IN {REPLACES} GROUP BY bank, old_ord)
+    return f"""WITH {said(d)}, {asked(d)}, {judged(d)}, e AS (SELECT bank, old_ord, min(new_ord) AS new_ord FROM verdicts WHERE reason IN {REPLACES} GROUP BY bank, old_ord)
       SELECT CAST(q.qid AS BIGINT) AS qid, CAST(q.answer AS BIGINT) AS answer, CASE WHEN CAST(a.day AS DATE) <= CAST(q.day AS DATE) AND (s.ord IS NULL OR CAST(s.day AS DATE) > CAST(q.day AS DATE)) THEN 1 ELSE 0 END AS stands FROM asked q JOIN said a ON a.bank = q.bank AND a.ord = q.answer LEFT JOIN e ON e.bank = q.bank AND e.old_ord = q.answer LEFT JOIN said s ON s.bank = e.bank AND s.ord = e.new_ord"""
 
 
@@ -169,4 +169,4 @@ def filing_replay(d):
 
 @plan
 def next_batch(d):
-    return f"WITH {said()}, {FILED}, o AS (SELECT s.bank, s.ord, row_number() OVER (PARTITION BY s.bank ORDER BY s.day, s.ord) AS k FROM said s LEFT JOIN filed f ON f.bank = s.bank AND f.fact = s.ord WHERE f.fact IS NULL) SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, CAST(floor((k - 1) / 5) AS BIGINT) AS batch FROM o"
+    return f"WITH {said(d)}, {FILED}, o AS (SELECT s.bank, s.ord, row_number() OVER (PARTITION BY s.bank ORDER BY s.day, s.ord) AS k FROM said s LEFT JOIN filed f ON f.bank = s.bank AND f.fact = s.ord WHERE f.fact IS NULL) SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, CAST(floor((k - 1) / 5) AS BIGINT) AS batch FROM o"

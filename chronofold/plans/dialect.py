@@ -7,6 +7,7 @@ result is checked against.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,17 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 class Dialect:
-    def __init__(self, spark: bool):
-        self.spark = spark
+    """``inputs``: views that stand for relations of the same name."""
+
+    def __init__(self, spark: bool, inputs: dict[str, str] | None = None):
+        self.spark, self.inputs = spark, inputs or {}
+
+    def raw(self, text: str) -> str:
+        """A string literal whose backslashes stay."""
+        return self.of("r", "") + f"'{text}'"
+
+    def text(self, x) -> str:
+        return f"CAST({x} AS {self.of('STRING', 'VARCHAR')})"
 
     def of(self, spark: str, duck: str) -> str:
         return spark if self.spark else duck
@@ -29,7 +39,7 @@ class Dialect:
 
     def found(self, x, p):
         """All matches of a pattern, in order."""
-        return self.of(f"regexp_extract_all({x}, '{p}', 0)", f"regexp_extract_all({x}, '{p}')")
+        return self.of(f"regexp_extract_all({x}, r'{p}', 0)", f"regexp_extract_all({x}, '{p}')")
 
     def uniq(self, a):
         return self.of(f"sort_array(array_distinct({a}))", f"list_sort(list_distinct({a}))")
@@ -53,13 +63,13 @@ class Dialect:
         return self.of(f"filter({a}, x -> {body})", f"list_filter({a}, lambda x: {body})")
 
     def sub(self, x, p, r):
-        return self.of(f"regexp_replace({x}, '{p}', '{r}')", f"regexp_replace({x}, '{p}', '{r}', 'g')")
+        return self.of(f"regexp_replace({x}, r'{p}', '{r}')", f"regexp_replace({x}, '{p}', '{r}', 'g')")
 
     def has(self, x, p):
-        return self.of(f"({x} RLIKE '{p}')", f"regexp_matches({x}, '{p}')")
+        return self.of(f"({x} RLIKE r'{p}')", f"regexp_matches({x}, '{p}')")
 
     def part(self, x, p, g=1):
-        return f"regexp_extract({x}, '{p}', {g})"
+        return f"regexp_extract({x}, {self.raw(p)}, {g})"
 
     def split(self, x, p):
         return self.of(f"split({x}, '{p}')", f"regexp_split_to_array({x}, '{p}')")
@@ -137,10 +147,22 @@ def plans() -> dict[str, Plan]:
     return dict(_plans)
 
 
-def run(spark: SparkSession, sf_dir: str, statement: Plan) -> DataFrame:
-    """Run a plan over the tables in ``sf_dir``; only tables that it names are opened."""
-    sql = statement(SPARK)
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+def run(spark: SparkSession, sf_dir: str | None, statement: Plan, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run a plan over the tables in ``sf_dir``, or over DataFrames given under a table's or relation's name.
+
+    Only tables that the plan names are opened. They are named inside the statement, so no view of the session
+    is touched; the views of ``inputs`` have names of their own and go once the plan is resolved.
+    """
+    views = {name: f"chronofold_{uuid.uuid4().hex}" for name in inputs or {}}
+    for name, view in views.items():
+        inputs[name].createOrReplaceTempView(view)
+    try:
+        sql = statement(Dialect(True, {n: v for n, v in views.items() if n not in TABLES}))
+        opened = [f"{t} AS (SELECT * FROM {views[t]})" if t in views else f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", sql)]
+        if opened:
+            head = re.match(r"\s*WITH (RECURSIVE )?", sql)
+            sql = f"WITH {head[1] or ''}{', '.join(opened)}, {sql[head.end():]}" if head else f"WITH {', '.join(opened)} {sql}"
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)

@@ -72,12 +72,12 @@ def suppress_duplicates(d):
 
 
 def _rule(d, rule):
-    return f"WITH {said()}, {judged(d)} SELECT bank, new_ord, old_ord, j FROM verdicts WHERE rule = '{rule}'"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, new_ord, old_ord, j FROM verdicts WHERE rule = '{rule}'"
 
 
 @plan
 def overlap_band(d):
-    return f"WITH {said()}, {judged(d)} SELECT bank, new_ord, old_ord, j FROM verdicts WHERE j >= {OVERLAP} AND j < {DUPLICATE}"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, new_ord, old_ord, j FROM verdicts WHERE j >= {OVERLAP} AND j < {DUPLICATE}"
 
 
 @plan
@@ -97,29 +97,29 @@ def attribute_update(d):
 
 @plan
 def safety_veto(d):
-    return f"WITH {said()}, {judged(d)} SELECT bank, new_ord, old_ord, rule, reason FROM verdicts WHERE safety > 0"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, new_ord, old_ord, rule, reason FROM verdicts WHERE safety > 0"
 
 
 @plan
 def conflict_resolve(d):
-    return f"WITH {said()}, {judged(d)} SELECT bank, new_ord, old_ord, reason, CASE WHEN reason IN {REPLACES} THEN 1 ELSE 0 END AS retires FROM verdicts"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, new_ord, old_ord, reason, CASE WHEN reason IN {REPLACES} THEN 1 ELSE 0 END AS retires FROM verdicts"
 
 
 @plan
 def may_replace(d):
-    return f"WITH {said()}, {judged(d)} SELECT bank, new_ord, old_ord FROM verdicts WHERE rule NOT IN ('event', 'refinement', 'other_actor', 'other_scope', 'many') AND safety = 0"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, new_ord, old_ord FROM verdicts WHERE rule NOT IN ('event', 'refinement', 'other_actor', 'other_scope', 'many') AND safety = 0"
 
 
 @plan
 def session_overrides(d):
     """Facts that any of a session's statements (place 7 and later) would replace."""
-    return f"WITH {said()}, {judged(d)} SELECT DISTINCT bank, old_ord FROM verdicts WHERE new_ord >= 7 AND old_ord < 7 AND reason IN {REPLACES}"
+    return f"WITH {said(d)}, {judged(d)} SELECT DISTINCT bank, old_ord FROM verdicts WHERE new_ord >= 7 AND old_ord < 7 AND reason IN {REPLACES}"
 
 
 @plan
 def rules_pairs(d):
     """The newest judge of each retired fact: one edge per old fact."""
-    return f"WITH {said()}, {judged(d)} SELECT bank, old_ord, min(new_ord) AS new_ord FROM verdicts WHERE reason IN {REPLACES} GROUP BY bank, old_ord"
+    return f"WITH {said(d)}, {judged(d)} SELECT bank, old_ord, min(new_ord) AS new_ord FROM verdicts WHERE reason IN {REPLACES} GROUP BY bank, old_ord"
 
 
 @plan
@@ -142,12 +142,12 @@ def candidate_generation(d):
 
 @plan
 def candidate_same_slot(d):
-    return f"WITH {said()}, {features(d)}, r AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, row_number() OVER (PARTITION BY n.bank, n.ord ORDER BY o.ord DESC) AS k FROM features n JOIN features o ON n.bank = o.bank AND n.topic = o.topic AND o.ord < n.ord) SELECT bank, new_ord, old_ord FROM r WHERE k <= 20"
+    return f"WITH {said(d)}, {features(d)}, r AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, row_number() OVER (PARTITION BY n.bank, n.ord ORDER BY o.ord DESC) AS k FROM features n JOIN features o ON n.bank = o.bank AND n.topic = o.topic AND o.ord < n.ord) SELECT bank, new_ord, old_ord FROM r WHERE k <= 20"
 
 
 @plan
 def candidate_union(d):
-    return f"""WITH {said()}, {features(d)}, u AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord AND n.topic = o.topic
+    return f"""WITH {said(d)}, {features(d)}, u AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord AND n.topic = o.topic
       UNION SELECT n.bank, n.ord, o.ord FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord WHERE {d.n(d.both('n.anchors', 'o.anchors'))} > 0
       UNION SELECT n.bank, n.ord, o.ord FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord AND n.actor = o.actor AND n.actor <> 'user') SELECT bank, new_ord, old_ord FROM u"""
 

@@ -93,12 +93,12 @@ def prompt(d, limit: int = 5) -> str:
 
 @plan
 def prompt_rows(d):
-    return f"WITH {said()}, {prompt(d)} SELECT bank, ord, safe FROM chosen"
+    return f"WITH {said(d)}, {prompt(d)} SELECT bank, ord, safe FROM chosen"
 
 
 @plan
 def render_prompt(d):
-    return f"WITH {said()}, {prompt(d)} SELECT bank, concat('Known facts:', chr(10), {d.words_of('concat(chr(45), chr(32), text)', 'safe DESC, day DESC, ord DESC')}) AS block FROM chosen WHERE ord <> 11 GROUP BY bank"
+    return f"WITH {said(d)}, {prompt(d)} SELECT bank, concat('Known facts:', chr(10), {d.words_of('concat(chr(45), chr(32), text)', 'safe DESC, day DESC, ord DESC')}) AS block FROM chosen WHERE ord <> 11 GROUP BY bank"
 
 
 @plan
@@ -123,13 +123,13 @@ def event_anchor_asof(d):
 @plan
 def slot_first_order(d):
     """Same slot newest first, then same actor, then the rest."""
-    return f"""WITH {said()}, {features(d)}, p AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 0 WHEN n.actor = o.actor THEN 1 ELSE 2 END AS grp FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord)
+    return f"""WITH {said(d)}, {features(d)}, p AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 0 WHEN n.actor = o.actor THEN 1 ELSE 2 END AS grp FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord)
       SELECT bank, new_ord, old_ord, grp, CAST(row_number() OVER (PARTITION BY bank, new_ord ORDER BY grp, old_ord DESC) AS BIGINT) AS r FROM p"""
 
 
 @plan
 def verifier_plan(d):
-    return f"""WITH {said()}, {features(d)}, p AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, round({T.jaccard(d, 'n.t', 'o.t')}, 6) AS sim FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord AND n.actor = o.actor AND n.kind = 'fact' AND o.kind = 'fact'),
+    return f"""WITH {said(d)}, {features(d)}, p AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, round({T.jaccard(d, 'n.t', 'o.t')}, 6) AS sim FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord AND n.actor = o.actor AND n.kind = 'fact' AND o.kind = 'fact'),
       r AS (SELECT *, row_number() OVER (PARTITION BY bank, new_ord ORDER BY sim DESC, old_ord) AS k FROM p WHERE sim >= 0.15) SELECT bank, new_ord, old_ord, sim, CAST(k AS BIGINT) AS k FROM r WHERE k <= 4"""
 
 
@@ -179,7 +179,7 @@ def pad_store(d):
 @plan
 def training_rows(d):
     """Soft targets: the gold class gets what the four others leave."""
-    return f"WITH {said()}, {features(d)} SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 1e0 ELSE 0e0 END AS replaces, CASE WHEN n.topic = o.topic THEN 0e0 ELSE 25e-2 END AS each_other FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord"
+    return f"WITH {said(d)}, {features(d)} SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, CASE WHEN n.topic = o.topic THEN 1e0 ELSE 0e0 END AS replaces, CASE WHEN n.topic = o.topic THEN 0e0 ELSE 25e-2 END AS each_other FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord"
 
 
 @plan
@@ -199,7 +199,7 @@ def verdict_parse(d):
 @plan
 def fact_graph_edges(d):
     """Facts and the nodes they touch (topic, actor, anchors), with node weights ln(1 + N / df)."""
-    return f"""WITH {said()}, {features(d)}, e AS (SELECT bank, ord, concat('topic:', topic) AS node FROM features WHERE topic IS NOT NULL UNION SELECT bank, ord, concat('kin:', actor) FROM features WHERE actor <> 'user' UNION SELECT bank, ord, concat('word:', w) FROM features {d.explode('anchors', 'w')}),
+    return f"""WITH {said(d)}, {features(d)}, e AS (SELECT bank, ord, concat('topic:', topic) AS node FROM features WHERE topic IS NOT NULL UNION SELECT bank, ord, concat('kin:', actor) FROM features WHERE actor <> 'user' UNION SELECT bank, ord, concat('word:', w) FROM features {d.explode('anchors', 'w')}),
       n AS (SELECT bank, count(*) AS n FROM features GROUP BY bank), f AS (SELECT bank, node, count(*) AS df FROM e GROUP BY bank, node) SELECT e.bank, e.ord, e.node, round(ln(1 + CAST(n.n AS DOUBLE) / f.df), 6) AS weight FROM e JOIN f ON f.bank = e.bank AND f.node = e.node JOIN n ON n.bank = e.bank"""
 
 

@@ -62,9 +62,49 @@ ASKED = [
 ]
 
 
-def said() -> str:
-    return values("said", "bank, ord, day, text", SAID)
+
+#: Sentences that events of the tables become: one template for each, with a value that the event chooses.
+TEMPLATES = [
+    ("I live in %s", "city"), ("I moved to %s", "city"), ("My manager is %s", "person"), ("My boss is %s now", "person"), ("I take %s every morning", "drug"), ("I stopped taking %s", "drug"),
+    ("I am allergic to %s", "food"), ("My favourite colour is %s", "colour"), ("The deadline for Apollo is %s", "day"), ("The deadline for Hermes is %s", "day"), ("We use %s for billing", "store"),
+    ("I work at %s", "firm"), ("I no longer work at %s", "firm"), ("Met %s for lunch yesterday", "person"), ("Bought a %s", "thing"), ("My sister lives in %s", "city"), ("My dog %s sleeps on the sofa", "person"),
+    ("I use %s as my editor", "editor"), ("Always answer in %s from now on", "city"), ("I switched from coffee to %s", "drink"), ("My phone is an iPhone %s", "number"), ("I commute by %s to the office", "ride"),
+    ("My father must not eat %s", "food"), ("I also like %s", "food"),
+]
+FILLS = {
+    "city": "Ghent Turin Cork Bergen Porto Lyon Graz Split".split(), "person": "Bram Odile Vera Tom Mira Jonas".split(), "drug": "metformin insulin aspirin ramipril".split(),
+    "food": "walnuts shellfish pork gluten sesame".split(), "colour": "green red blue amber".split(), "day": "Monday Tuesday Friday".split(), "store": "Postgres MySQL SQLite".split(),
+    "firm": "Orbis Lindenhof Kestrel Nordwind".split(), "thing": "kayak bike tent".split(), "editor": "Vim Helix Emacs".split(), "drink": "tea cola water".split(), "number": "12 13 14 15".split(), "ride": "tram bus bike".split(),
+}
+#: Banks of conversations and of users stand apart from the inline ones.
+CONVERSATIONS, USERS = 1000, 10_000_000
+
+
+def _spoken(d: Dialect) -> str:
+    """The sentence of an event: the template by its id, the fill by its id and value."""
+    def fill(kind: str) -> str:
+        words = FILLS[kind]
+        return f"CASE CAST(floor(value) AS BIGINT) % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+    cases = " ".join(f"WHEN {i} THEN concat('{t.split('%s')[0]}', {fill(kind)}, '{t.split('%s')[1]}')" for i, (t, kind) in enumerate(TEMPLATES))
+    return f"CASE (event_id * 7 + user_id) % {len(TEMPLATES)} {cases} END"
+
+
+def said(d: Dialect) -> str:
+    """What was said: the inline banks, the user turns of all conversations, and a sentence for every event of a user."""
+    if "said" in d.inputs:
+        return f"said AS (SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, {d.text('day')} AS day, text FROM {d.inputs['said']})"
+    start = "DATE '2025-01-01'"
+    return f"""{values("inline_said", "bank, ord, day, text", SAID)},
+    said AS (SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, day, text FROM inline_said
+      UNION ALL SELECT conv_id + {CONVERSATIONS}, turn + 1, {d.text(d.add_days(start, 'turn'))}, text FROM conversations WHERE role = 'user'
+      UNION ALL SELECT user_id + {USERS}, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), {d.text('CAST(ts AS DATE)')}, {_spoken(d)} FROM events)"""
 
 
-def asked() -> str:
-    return values("asked", "qid, bank, day, question, answer", ASKED)
+def asked(d: Dialect) -> str:
+    """What was asked: the inline questions, and every assistant turn about the user turn before it."""
+    if "asked" in d.inputs:
+        return f"asked AS (SELECT CAST(qid AS BIGINT) AS qid, CAST(bank AS BIGINT) AS bank, {d.text('day')} AS day, question, CAST(answer AS BIGINT) AS answer FROM {d.inputs['asked']})"
+    return f"""{values("inline_asked", "qid, bank, day, question, answer", ASKED)},
+    asked AS (SELECT CAST(qid AS BIGINT) AS qid, CAST(bank AS BIGINT) AS bank, day, question, CAST(answer AS BIGINT) AS answer FROM inline_asked
+      UNION ALL SELECT {CONVERSATIONS} + conv_id * 1000 + turn, conv_id + {CONVERSATIONS}, {d.text(d.add_days("DATE '2025-01-01'", 'turn'))}, text, turn FROM conversations WHERE role = 'assistant')"""
