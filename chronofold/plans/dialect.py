@@ -83,6 +83,10 @@ class Dialect:
     def max_by(self, a, b):
         return self.of(f"max_by({a}, {b})", f"arg_max({a}, {b})")
 
+    def pair(self, a, b):
+        """Two values as one that is ordered by the first, then the second."""
+        return self.of(f"struct({a}, {b})", f"{{'a': {a}, 'b': {b}}}")
+
     def min_by(self, a, b):
         return self.of(f"min_by({a}, {b})", f"arg_min({a}, {b})")
 

@@ -22,25 +22,37 @@ def features(d) -> str:
     kv = "^(My|Our) ([A-Za-z ]+) (is|are) (.+)$"
     return f"""features AS (SELECT CAST(bank AS BIGINT) AS bank, CAST(ord AS BIGINT) AS ord, CAST(day AS DATE) AS day, text, {s} AS s, {d.tokens('text')} AS t, {T.content(d, 'text')} AS words, {T.anchors(d, 'text')} AS anchors,
       {T.topic(d, 'text')} AS topic, {T.kind(d, 'text')} AS kind, {d.part('text', p, 1)} AS attr, {d.part('text', p, 3)} AS scope, {d.part('text', kv, 2)} AS k, lower({d.part('text', kv, 4)}) AS v,
-      CASE WHEN {d.has(s, L.REVERSAL)} THEN 1 ELSE 0 END AS reversal, CASE WHEN {d.has(s, L.CONDITION)} OR {d.has(s, L.PROHIBITION)} THEN 1 ELSE 0 END AS safety,
+      CASE WHEN {d.has(T.spaced(d, T.asserted(d, 'text')), L.REVERSAL)} THEN 1 ELSE 0 END AS reversal, CASE WHEN {T.additive(d, 'text')} THEN 1 ELSE 0 END AS additive, CASE WHEN {T.safety(d, 'text')} THEN 1 ELSE 0 END AS safety, CASE WHEN {T.negated(d, 'text')} THEN 1 ELSE 0 END AS neg, {d.uniq(d.map(T.content(d, 'text'), T.fold(d, 'x')))} AS folded,
       CASE WHEN {d.has(s, ' my (' + '|'.join(L.KIN) + ') ')} THEN {d.part(s, ' my (' + '|'.join(L.KIN) + ') ', 1)} ELSE 'user' END AS actor, CASE WHEN {T.directive(d, 'text')} THEN 1 ELSE 0 END AS directive FROM said)"""
 
 
 def judged(d) -> str:
-    """Each new fact against every earlier one of its bank, with the first rule that fires."""
+    """Each new fact against every earlier one of its bank, with the first rule that fires.
+
+    Skips come first (refinement, other person, other scope, event), then an attribute of a named thing, a different
+    key, the slot, the same key with another value, the overlap band and a plain reversal. A safety fact goes only
+    by a reversal that names what it names."""
     multi = ", ".join(f"'{m}'" for m in L.MULTI_VALUED)
     back = ", ".join(f"'{m}'" for m in L.RETIRED_BY_REVERSAL)
-    j = T.jaccard(d, "n.t", "o.t")
     only = lambda x: d.n(d.where(x, "NOT " + d.has("x", "[0-9]")))
-    differ = f"{d.n(d.less('n.words', 'o.words'))} + {d.n(d.less('o.words', 'n.words'))}"
-    return f"""{features(d)}, pairs AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, n.topic, round({j}, 6) AS j, n.safety + o.safety AS safety,
-      CASE WHEN n.kind = 'event' OR o.kind = 'event' OR n.directive + o.directive > 0 THEN 'event' WHEN {differ} > 0 AND {only(d.less('n.words', 'o.words'))} = 0 AND {only(d.less('o.words', 'n.words'))} = 0 AND n.topic = 'database' THEN 'refinement'
-        WHEN n.actor <> o.actor THEN 'other_actor' WHEN n.attr <> '' AND n.attr = o.attr AND n.scope = o.scope THEN 'attribute' WHEN n.scope <> '' AND o.scope <> '' AND n.scope <> o.scope THEN 'other_scope'
-        WHEN n.k <> '' AND o.k <> '' AND n.k = o.k AND n.v <> o.v AND n.topic = o.topic AND n.topic NOT IN ({multi}) THEN 'key_value'
-        WHEN n.topic = o.topic AND n.topic IN ({multi}) AND NOT (n.topic IN ({back}) AND n.reversal = 1 AND {d.n(d.both('n.anchors', 'o.anchors'))} > 0) THEN 'many'
-        WHEN n.topic = o.topic AND n.topic IN ({back}) AND n.reversal = 1 THEN 'reversal' WHEN n.topic = o.topic AND {j} < {DUPLICATE} THEN 'slot'
-        WHEN n.topic IS NULL AND o.topic IS NULL AND {j} >= {OVERLAP} AND {j} < {DUPLICATE} THEN 'overlap' ELSE 'none' END AS rule
+    more, fewer = d.less("words", "old_words"), d.less("old_words", "words")
+    # numbers once per pair, then the rules in order; the first that speaks decides
+    return f"""{features(d)}, met AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, n.topic, o.topic AS old_topic, {T.jaccard(d, 'n.t', 'o.t')} AS j, n.words, o.words AS old_words, n.kind, o.kind AS old_kind, n.directive + o.directive AS directive,
+        n.actor, o.actor AS old_actor, n.attr, o.attr AS old_attr, n.scope, o.scope AS old_scope, n.k, o.k AS old_k, n.v, o.v AS old_v, n.reversal, n.additive, o.safety AS old_safety,
+        {d.n(d.both('n.anchors', 'o.anchors'))} AS anchored, CASE WHEN n.neg <> o.neg OR ({d.n(d.less('n.folded', 'o.folded'))} > 0 AND {d.n(d.less('o.folded', 'n.folded'))} > 0) THEN 1 ELSE 0 END AS differs,
+        CASE WHEN (n.scope <> '' AND NOT contains(lower(o.text), lower(n.scope))) OR (o.scope <> '' AND NOT contains(lower(n.text), lower(o.scope))) THEN 1 ELSE 0 END AS outside
       FROM features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord),
+    pairs AS (SELECT bank, new_ord, old_ord, topic, round(j, 6) AS j, CASE WHEN old_safety = 1 AND NOT (reversal = 1 AND anchored > 0) THEN 1 ELSE 0 END AS safety,
+      CASE WHEN {d.n(more)} + {d.n(fewer)} > 0 AND {only(more)} = 0 AND {only(fewer)} = 0 THEN 'refinement'
+        WHEN actor <> old_actor THEN 'other_actor' WHEN scope <> '' AND old_scope <> '' AND scope <> old_scope THEN 'other_scope' WHEN outside = 1 THEN 'other_scope'
+        WHEN kind = 'event' OR old_kind = 'event' OR directive > 0 THEN 'event'
+        WHEN attr <> '' AND old_attr <> '' THEN CASE WHEN attr = old_attr AND j < {DUPLICATE} AND additive = 0 THEN 'attribute' ELSE 'none' END
+        WHEN k <> '' AND old_k <> '' AND k <> old_k AND (topic IS NULL OR topic IS DISTINCT FROM old_topic) THEN 'none'
+        WHEN topic IS NOT NULL AND old_topic IS NOT NULL THEN CASE WHEN topic <> old_topic OR additive = 1 THEN 'none'
+          WHEN topic IN ({multi}) THEN CASE WHEN topic IN ({back}) AND reversal = 1 AND anchored > 0 THEN 'reversal' ELSE 'many' END
+          WHEN j >= {DUPLICATE} AND differs = 0 THEN 'none' ELSE 'slot' END
+        WHEN k <> '' AND k = old_k AND v <> old_v THEN 'key_value' WHEN j >= {OVERLAP} AND j < {DUPLICATE} THEN 'overlap' WHEN topic IS NOT NULL THEN 'none'
+        WHEN reversal = 1 AND j > 0 AND anchored > 0 THEN 'reversal' ELSE 'none' END AS rule FROM met),
     verdicts AS (SELECT *, CASE WHEN safety > 0 AND rule IN ('attribute', 'key_value', 'reversal', 'slot', 'overlap') THEN 'safety' ELSE rule END AS reason FROM pairs)"""
 
 
@@ -66,9 +78,16 @@ def jaccard_band_join(d):
 
 @plan
 def suppress_duplicates(d):
-    """Documents whose token set repeats an earlier one's; equal sets meet by hash, no pairs are made."""
-    return f"""WITH s AS (SELECT doc_id, lang, md5({d.join(d.tokens('text'))}) AS h FROM documents), g AS (SELECT h, lang, min(doc_id) AS first_id, count(*) AS n FROM s GROUP BY h, lang)
-      SELECT s.doc_id, g.first_id AS duplicate_of FROM s JOIN g ON s.h = g.h AND s.lang = g.lang WHERE g.n > 1 AND s.doc_id <> g.first_id"""
+    """Statements that restate an earlier one of their bank: Jaccard of 0.85 or more, and neither a refinement nor a different
+    fact; the newest such one is named. The size ratio bounds the similarity, so it is tested before the sets are."""
+    more, fewer = d.less("a.words", "b.words"), d.less("b.words", "a.words")
+    digits = lambda x: d.n(d.where(x, "NOT " + d.has("x", "[0-9]")))
+    refines = f"({d.n(more)} + {d.n(fewer)} > 0 AND {digits(more)} = 0 AND {digits(fewer)} = 0)"
+    distinct = f"(a.neg <> b.neg OR ({d.n(d.less('a.folded', 'b.folded'))} > 0 AND {d.n(d.less('b.folded', 'a.folded'))} > 0))"
+    return f"""WITH {said(d)}, f AS (SELECT bank, ord, {d.tokens('text')} AS t, {d.n(d.tokens('text'))} AS n, {T.content(d, 'text')} AS words, {d.uniq(d.map(T.content(d, 'text'), T.fold(d, 'x')))} AS folded,
+        CASE WHEN {T.negated(d, 'text')} THEN 1 ELSE 0 END AS neg FROM said)
+      SELECT a.bank, a.ord, max(b.ord) AS duplicate_of FROM f a JOIN f b ON a.bank = b.bank AND b.ord < a.ord AND a.n >= {DUPLICATE} * b.n AND b.n >= {DUPLICATE} * a.n
+      WHERE {T.jaccard(d, 'a.t', 'b.t')} >= {DUPLICATE} AND NOT {refines} AND NOT {distinct} GROUP BY a.bank, a.ord"""
 
 
 def _rule(d, rule):
@@ -124,11 +143,10 @@ def rules_pairs(d):
 
 @plan
 def semantic_supersession(d):
-    """The best earlier vector of the label, if it is close enough and clearly ahead of the second."""
-    return f"""WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0),
-      s AS (SELECT q.vec_id AS new_id, v.vec_id AS old_id, round({d.dot('q.embedding', 'v.embedding')}, 6) AS sim FROM q JOIN embeddings v ON q.label = v.label AND v.vec_id < q.vec_id),
+    """The best earlier vector of every vector, if it is close enough (0.30) and clearly ahead of the second (by 0.08)."""
+    return f"""WITH s AS (SELECT q.vec_id AS new_id, v.vec_id AS old_id, round({d.dot('q.embedding', 'v.embedding')}, 6) AS sim FROM embeddings q JOIN embeddings v ON v.vec_id < q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) AS k, lead(sim) OVER (PARTITION BY new_id ORDER BY sim DESC, old_id) AS second FROM s)
-      SELECT new_id, old_id, sim FROM r WHERE k = 1 AND sim >= 0.1 AND (second IS NULL OR sim - second >= 0.01)"""
+      SELECT new_id, old_id, sim FROM r WHERE k = 1 AND sim >= 0.3 AND (second IS NULL OR sim - second >= 0.08)"""
 
 
 @plan

@@ -9,7 +9,7 @@ from .dialect import plan
 @plan
 def slot_asof(d):
     """Newest value of each one-value slot per bank at the end of 2024-01-15: one partial-aggregated group."""
-    return f"""WITH {facts(d)} SELECT bank, slot, {d.max_by('value', 'id')} AS value, max(id) AS id FROM facts
+    return f"""WITH {facts(d)} SELECT bank, slot, {d.max_by('value', d.pair('created_at', 'id'))} AS value, {d.max_by('id', d.pair('created_at', 'id'))} AS id FROM facts
       WHERE created_at <= {d.ts('2024-01-15 23:59:59')} AND slot IN {ONE_VALUE} AND NOT forgotten GROUP BY bank, slot"""
 
 
