@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from .operators import folds
+from .operators import folds, graph
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 
@@ -24,9 +24,9 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Folds have none: their result depends on the order of rows."""
-    return {name: p(DUCK) for name, p in plans().items()}
+    return {name: p(DUCK) for name, p in plans().items()} | graph.oracle_sql()

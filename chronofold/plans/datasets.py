@@ -36,13 +36,6 @@ def named_folders(d):
     return f"""WITH {said(d)}, w AS (SELECT bank, w, min(ord) AS first_ord FROM said {d.explode(d.map(d.found('text', '[a-z] [A-Z][a-z]+'), 'substr(x, 3)'), 'w')} GROUP BY bank, w) SELECT CAST(bank AS BIGINT) AS bank, w AS name, CAST(row_number() OVER (PARTITION BY bank ORDER BY first_ord, w) AS BIGINT) AS number FROM w"""
 
 
-@plan
-def canonical_folders(d):
-    """Merges followed to their end; a cycle has no end, so its folders keep their own name."""
-    return f"""WITH RECURSIVE {MERGED}, r(bank, folder, at_folder, depth) AS (SELECT bank, folder, into_folder AS at_folder, 1 AS depth FROM merged UNION ALL SELECT r.bank, r.folder, m.into_folder, r.depth + 1 FROM r JOIN merged m ON m.bank = r.bank AND m.folder = r.at_folder WHERE r.depth < 10),
-      e AS (SELECT bank, folder, {d.max_by('at_folder', 'depth')} AS canon, max(depth) AS depth FROM r GROUP BY bank, folder) SELECT CAST(bank AS BIGINT) AS bank, folder, CASE WHEN depth >= 10 THEN folder ELSE canon END AS canon FROM e"""
-
-
 @plan
 def identity_rows(d):
     """One decision per statement: how many folders its words name, and which if one."""
@@ -77,13 +70,6 @@ def case_map(d):
     return f"WITH n AS (SELECT doc_id, {d.n(lines)} AS cases FROM documents) SELECT doc_id, i AS case_no, CASE WHEN i = 1 THEN 'opening' WHEN i = cases THEN 'closing' ELSE 'middle' END AS layer, CASE WHEN substr(md5(concat('case:', {txt})), 1, 1) IN ('0', '1', '2') THEN 1 ELSE 0 END AS held_out FROM n {d.explode(d.series(1, 'cases'), 'i')}"
 
 
-@plan
-def replaces_ancestors(d):
-    """Everything a fact replaced, directly or through others."""
-    return f"""WITH RECURSIVE {said(d)}, {judged(d)}, e AS (SELECT DISTINCT bank, new_ord, old_ord FROM verdicts WHERE reason IN {REPLACES}), r(bank, ord, ancestor, depth) AS (SELECT bank, new_ord AS ord, old_ord AS ancestor, 1 AS depth FROM e UNION ALL SELECT r.bank, r.ord, e.old_ord, r.depth + 1 FROM r JOIN e ON e.bank = r.bank AND e.new_ord = r.ancestor WHERE r.depth < 12)
-      SELECT bank, ord, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY bank, ord, ancestor"""
-
-
 @plan
 def scenario_violations(d):
     return f"""WITH {said(d)}, {asked(d)}, o AS (SELECT bank, ord, CAST(day AS DATE) AS day, lag(CAST(day AS DATE)) OVER (PARTITION BY bank ORDER BY ord) AS before FROM said)

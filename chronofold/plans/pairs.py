@@ -173,14 +173,6 @@ def candidate_union(d):
 LINKS = values("links", "bank, a, b", [(3, "tom", "boyfriend"), (3, "boyfriend", "partner"), (3, "rex", "dog"), (1, "bram", "manager"), (1, "manager", "boss"), (1, "odile", "boss")])
 
 
-@plan
-def alias_components(d):
-    """Names and relations that mean one person: least name reachable, by recursion over the links."""
-    return f"""WITH RECURSIVE {LINKS}, e AS (SELECT bank, a, b FROM links UNION SELECT bank, b, a FROM links), r(bank, a, b, depth) AS (SELECT bank, a, a AS b, 0 AS depth FROM e GROUP BY bank, a
-      UNION ALL SELECT r.bank, r.a, e.b, r.depth + 1 FROM r JOIN e ON e.bank = r.bank AND e.a = r.b WHERE r.depth < 4)
-      SELECT CAST(bank AS BIGINT) AS bank, a AS name, min(b) AS component FROM r GROUP BY bank, a"""
-
-
 @plan
 def answerable_questions(d):
     """Benchmark items all of whose words occur in the documents: subset test by counting."""

@@ -217,15 +217,3 @@ def fact_graph_edges(d):
     """Facts and the nodes they touch (topic, actor, anchors), with node weights ln(1 + N / df)."""
     return f"""WITH {said(d)}, {features(d)}, e AS (SELECT bank, ord, concat('topic:', topic) AS node FROM features WHERE topic IS NOT NULL UNION SELECT bank, ord, concat('kin:', actor) FROM features WHERE actor <> 'user' UNION SELECT bank, ord, concat('word:', w) FROM features {d.explode('anchors', 'w')}),
       n AS (SELECT bank, count(*) AS n FROM features GROUP BY bank), f AS (SELECT bank, node, count(*) AS df FROM e GROUP BY bank, node) SELECT e.bank, e.ord, e.node, round(ln(1 + CAST(n.n AS DOUBLE) / f.df), 6) AS weight FROM e JOIN f ON f.bank = e.bank AND f.node = e.node JOIN n ON n.bank = e.bank"""
-
-
-@plan
-def personalised_pagerank(d):
-    """Three rounds from order 1's neighbourhood over the order-part graph; half the mass restarts at the seeds."""
-    steps, prev = [], "r0"
-    for i in range(1, 4):
-        steps.append(f"""p{i} AS (SELECT b.folder, sum({prev}.m / g.n) AS m FROM {prev} JOIN bridge b ON b.fact = {prev}.fact JOIN deg g ON g.fact = b.fact GROUP BY b.folder),
-          r{i} AS (SELECT k.fact, 0.5 * coalesce(s.m, 0) + 0.5 * coalesce(w.m, 0) AS m FROM keys k LEFT JOIN r0 s ON s.fact = k.fact LEFT JOIN (SELECT b.fact, sum(p{i}.m / h.n) AS m FROM p{i} JOIN bridge b ON b.folder = p{i}.folder JOIN hub h ON h.folder = b.folder GROUP BY b.fact) w ON w.fact = k.fact WHERE s.fact IS NOT NULL OR w.fact IS NOT NULL)""")
-        prev = f"r{i}"
-    return f"""WITH bridge AS (SELECT DISTINCT l_orderkey AS fact, l_partkey AS folder FROM lineitem), deg AS (SELECT fact, count(*) AS n FROM bridge GROUP BY fact), hub AS (SELECT folder, count(*) AS n FROM bridge GROUP BY folder), keys AS (SELECT fact FROM deg),
-      r0 AS (SELECT fact, 0.25 AS m FROM deg ORDER BY fact LIMIT 4), {', '.join(steps)} SELECT fact, round(m, 9) AS score FROM r3 WHERE round(m, 9) >= 0.0001"""
