@@ -6,8 +6,9 @@ one vantage-point tree per block, searched with radius 1, reaches every pair. A
 value and a median radius fitted on a bounded sample of fingerprints; every fingerprint is routed to its
 home leaf and, by the triangle bounds, to the leaves that its ball overlaps. A leaf is a shard: homes are
 compared with homes and with the boundary visitors of lower leaves, so each pair meets once per tree, and
-each pair met is verified on all bits. A shard that is large is cut further by local vantage points. Shards
-give back a spanning forest of their links, not the pairs.
+each pair met is verified on all bits. Inside a shard, rows find each other by looking up their block's value and
+those one bit away; for a wider radius a large shard is cut further by local vantage points. Shards give back a
+spanning forest of their links, not the pairs.
 
 For a similarity threshold below what 4 bits of 64 mean, ``similar_groups`` takes fingerprints of eight
 words over the set of shingles, whose distance estimates the Jaccard similarity, and trees over all 32
@@ -36,6 +37,8 @@ BITS, WIDTH = 64, 16
 SAMPLE = 8192
 #: Distinct fingerprints a leaf is meant to be home of.
 LEAF = 16384
+#: Pairs that a shard looks up at once.
+LOOKUPS = 1 << 22
 #: Comparisons a shard makes directly; above it is split by local vantage points.
 DIRECT = 1 << 26
 #: Words, and blocks with a tree, of the wide fingerprint; bits apart of a candidate pair. Sets of similarity 0.8 are
@@ -161,8 +164,33 @@ class VantageTree:
         return row, node, node == home[row]
 
 
+def _lookups(home: np.ndarray, visit: np.ndarray, reach: int):
+    """The pairs of ``_pairs`` for a radius of at most one: every home row looks up its own value and those one bit away."""
+    everyone = np.r_[home, visit]
+    order = np.argsort(everyone, kind="stable")
+    ordered = everyone[order]
+    for mask in [0, *(1 << b for b in range(WIDTH if reach else 0))]:
+        target = home ^ np.uint16(mask)
+        first = np.searchsorted(ordered, target, side="left")
+        many = np.searchsorted(ordered, target, side="right") - first
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(home):  # runs of rows that meet a bounded number of others
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOOKUPS, side="right")))
+            n = many[at:end]
+            a = np.repeat(np.arange(at, end), n)
+            b = order[np.repeat(first[at:end] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            keep = a < b  # homes come first, so each pair counts once
+            if keep.any():
+                yield a[keep], b[keep]
+            at = end
+
+
 def _pairs(home: np.ndarray, visit: np.ndarray, reach: int, depth: int = 0):
     """Index pairs of block values at most ``reach`` bits apart: home with home (once), home with visitors."""
+    if reach <= 1:
+        yield from _lookups(home, visit, reach)
+        return
     work = len(home) * (len(home) // 2 + len(visit))
     if work > DIRECT and depth < 24:
         point = home[np.random.default_rng(depth).integers(len(home))]
