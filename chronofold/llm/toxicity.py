@@ -44,6 +44,8 @@ WINDOW, STEP, RUN = 2, 1, 32
 #: Both dictionaries end with this and every window stands between two of it: inputs of a few bytes are stored raw, and
 #: a match is not looked for in an input's last eight bytes.
 LEAD = b"\n0123456789ab\n"
+#: Windows that a worker remembers before it starts anew; a window has ``WINDOW * RUN`` characters at most.
+CACHE = 300_000
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-¿¡«»"
 SHORTEST, LONGEST = 3, 12
 #: Places around a word whose words are counted: a phrase that always repeats varies at its edges only.
@@ -56,14 +58,14 @@ def _words(text: str) -> list[str]:
 
 def windows(text: str | None) -> Iterator[bytes]:
     """The lower-cased text's windows as UTF-8; they overlap and cover all of it."""
-    words = (text or "").lower().split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     for at in range(0, max(1, len(words) - WINDOW + STEP) if words else 0, STEP):
-        part = " ".join(words[at : at + WINDOW])
+        part = b" ".join(words[at : at + WINDOW])
         if len(part) <= WINDOW * RUN:
-            yield part.encode("utf-8", "surrogatepass")
+            yield part
         else:
             for k in range(0, len(part), RUN // 2):
-                yield part[k : k + RUN].encode("utf-8", "surrogatepass")
+                yield part[k : k + RUN]
 
 
 def _beginnings(word: str) -> list[str]:
@@ -125,16 +127,24 @@ class ToxicModel:
         return out
 
 
-class WindowScorer:
-    """Measures the windows of texts with both dictionaries."""
+class WindowScorer(dict):
+    """Measures the windows of texts with both dictionaries; a window's saving is remembered, as copies repeat theirs."""
 
     def __init__(self, model: ToxicModel):
+        super().__init__()
         ordinary, toxic = model.compressors()
         self.weights, self.ordinary, self.toxic = np.array(model.weights), ordinary.compress, toxic.compress
 
+    def __missing__(self, window: bytes) -> int:
+        framed = LEAD + window + LEAD
+        saved = len(self.ordinary(framed)) - len(self.toxic(framed))
+        if len(self) >= CACHE:
+            self.clear()
+        self[window] = saved
+        return saved
+
     def savings(self, text: str | None) -> list[int]:
-        one, two = self.ordinary, self.toxic
-        return [len(one(w)) - len(two(w)) for w in (LEAD + x + LEAD for x in windows(text))]
+        return list(map(self.__getitem__, windows(text)))
 
     def counts(self, text: str | None) -> list[int]:
         """How many windows save at least each of the gaps, and how many windows there are."""
