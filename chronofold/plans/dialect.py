@@ -162,7 +162,7 @@ def run(spark: SparkSession, sf_dir: str | None, statement: Plan, inputs: dict[s
         inputs[name].createOrReplaceTempView(view)
     try:
         sql = statement(Dialect(True, {n: v for n, v in views.items() if n not in TABLES}))
-        opened = [f"{t} AS (SELECT * FROM {views[t]})" if t in views else f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", sql)]
+        opened = [f"{t} AS (SELECT * FROM {views[t]})" if t in views else f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
         if opened:
             head = re.match(r"\s*WITH (RECURSIVE )?", sql)
             sql = f"WITH {head[1] or ''}{', '.join(opened)}, {sql[head.end():]}" if head else f"WITH {', '.join(opened)} {sql}"
