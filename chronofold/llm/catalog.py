@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, hamming_search, kd_shard, language_id, mixing, packing, pii, simhash, site_style, toxicity
+from . import bpe, divergence, embed_dedup, hamming_search, kd_shard, language_id, mixing, packing, periodic, pii, simhash, site_style, toxicity
 from .common import fold, table
 
 
@@ -56,10 +56,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_language_id, op4_hamming_topk, op5_simhash_dedup,
-                                    op6_kd_sharding, op7_pii, op8_html_extraction, op9_packing, op10_mixing)}
+                                    op6_kd_sharding, op7_pii, op8_html_extraction, op9_packing, op10_mixing,
+                                    op11_bpe_round_trip, op12_source_divergence, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hamming_topk": hamming_search.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op4_hamming_topk": hamming_search.ORACLE, "op10_mixing": mixing.ORACLE, "op12_source_divergence": divergence.ORACLE}
