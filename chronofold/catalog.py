@@ -7,7 +7,7 @@ from functools import partial
 from .operators import folds, graph
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
-from .streaming import verifier
+from .streaming import ledger, verifier
 
 FLAGSHIP = "hybrid_search"
 #: Importing these registers their plans.
@@ -25,7 +25,7 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries()
 
 
 def oracle_sql() -> dict[str, str]:

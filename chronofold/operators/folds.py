@@ -21,12 +21,15 @@ TRACE = "bank long, ord long, status string, duplicate_of long, retired string"
 def fold_bank(facts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Replay one bank in order: a fact is rejected, a duplicate of a standing one, or stored and retires others.
 
-    Only standing facts are judged, so a retired fact neither blocks a duplicate nor retires twice.
+    Only standing facts are judged, so a retired fact neither blocks a duplicate nor retires twice. Where ``facts`` has a
+    column ``fresh``, the others stand from before: they are judged against, and not replayed.
     """
     verdict = {(n, o): (r, j) for n, o, r, j in zip(pairs["new_ord"], pairs["old_ord"], pairs["reason"], pairs["j"])}
-    active: list[int] = []
+    ordered = facts.sort_values(["day", "ord"], kind="stable")
+    fresh = ordered["fresh"] if "fresh" in ordered else pd.Series(True, index=ordered.index)
+    active = [int(o) for o in ordered["ord"][~fresh]]
     out = []
-    for row in facts.sort_values(["day", "ord"], kind="stable").itertuples():
+    for row in ordered[fresh].itertuples():
         new = int(row.ord)
         if not str(row.text).strip() or row.directive:
             out.append((row.bank, new, "rejected", None, ""))
@@ -43,11 +46,16 @@ def fold_bank(facts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def remember_trace(spark: SparkSession, sf_dir: str | None, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
-    """What happened to every statement as it was written, bank by bank."""
+    """What happened to every statement as it was written, bank by bank.
+
+    ``inputs`` may hold ``said``, and ``arrived(bank, ord)``: then only these statements are written, onto the others, which stand.
+    """
     def rows(tail: str) -> DataFrame:
         return dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)}, {judged(d)} {tail}", inputs)
 
     facts = rows("SELECT bank, ord, day, text, directive FROM features")
+    if inputs and "arrived" in inputs:
+        facts = facts.join(inputs["arrived"].select("bank", "ord", F.lit(True).alias("fresh")), ["bank", "ord"], "left").na.fill(False, ["fresh"])
     # only what can block or retire travels to the fold
     pairs = rows(f"SELECT bank, new_ord, old_ord, reason, j FROM verdicts WHERE reason IN {REPLACES} OR (reason = 'none' AND j >= {DUPLICATE})")
     return facts.groupBy("bank").cogroup(pairs.groupBy("bank")).applyInPandas(fold_bank, TRACE)

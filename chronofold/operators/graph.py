@@ -21,15 +21,20 @@ from ..sources.relations import facts, said
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that the cluster shares and read back; a local session without one gets its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a local session without one gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="chronofold-"))
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        base = _own.get(spark.sparkContext.applicationId) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="chronofold-"))
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
