@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import partial
+from inspect import signature
 
-from .operators import exchange, folds, graph
+from .operators import exchange, folds, graph, similarity
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 from .streaming import ledger, verifier
@@ -19,15 +20,21 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
 
     ``inputs`` are given under the name of a table or relation of the plan: ``said(bank, ord, day, text)``,
     ``asked(qid, bank, day, question, answer)``, ``phrases(id, phrase, today)`` or any driver table. Tables
-    that are not given are read from ``sf_dir``.
+    that are not given are read from ``sf_dir``. Folds, joins and graph operators that work on statements take them the same way.
     """
-    return run(spark, sf_dir, plans()[name], inputs)
+    statement = plans().get(name)
+    if statement is not None:
+        return run(spark, sf_dir, statement, inputs)
+    operator = {"scenario_copies": similarity.scenario_copies, **queries()}[name]
+    if "inputs" not in signature(operator).parameters:
+        raise ValueError(f"{name} works on tables alone")
+    return operator(spark, sf_dir, inputs)
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Folds have none: their result depends on the order of rows."""
-    return {name: p(DUCK) for name, p in plans().items()} | graph.oracle_sql() | exchange.oracle_sql()
+    return {name: p(DUCK) for name, p in plans().items()} | graph.oracle_sql() | exchange.oracle_sql() | similarity.oracle_sql()

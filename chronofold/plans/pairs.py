@@ -70,17 +70,8 @@ def jaccard_pairs(d):
     return f"WITH {turns(d)} SELECT a.bank, a.ord AS new_ord, b.ord AS old_ord, round({T.jaccard(d, 'a.t', 'b.t')}, 6) AS j FROM turns a JOIN turns b ON a.bank = b.bank AND b.ord < a.ord"
 
 
-@plan
-def jaccard_band_join(d):
-    """The size ratio bounds the similarity, so it is tested before the sets are."""
-    return f"""WITH {turns(d)}, s AS (SELECT *, {d.n('t')} AS n FROM turns) SELECT a.bank, a.ord AS new_ord, b.ord AS old_ord FROM s a JOIN s b ON a.bank = b.bank AND b.ord < a.ord
-      AND a.n >= 0.5 * b.n AND b.n >= 0.5 * a.n WHERE {T.jaccard(d, 'a.t', 'b.t')} >= 0.5"""
-
-
-@plan
-def suppress_duplicates(d):
-    """Statements that restate an earlier one of their bank: Jaccard of 0.85 or more, and neither a refinement nor a different
-    fact; the newest such one is named. The size ratio bounds the similarity, so it is tested before the sets are."""
+def all_pairs_duplicates(d) -> str:
+    """What ``operators.similarity.suppress_duplicates`` gives, by comparing all pairs of a bank."""
     more, fewer = d.less("a.words", "b.words"), d.less("b.words", "a.words")
     digits = lambda x: d.n(d.where(x, "NOT " + d.has("x", "[0-9]")))
     refines = f"({d.n(more)} + {d.n(fewer)} > 0 AND {digits(more)} = 0 AND {digits(fewer)} = 0)"
