@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 from inspect import signature
 
-from .operators import exchange, folds, graph, similarity
+from .operators import exchange, folds, graph, search, similarity
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 from .streaming import ledger, verifier
@@ -32,9 +32,9 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries() | search.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Folds have none: their result depends on the order of rows."""
-    return {name: p(DUCK) for name, p in plans().items()} | graph.oracle_sql() | exchange.oracle_sql() | similarity.oracle_sql()
+    return {name: p(DUCK) for name, p in plans().items()} | graph.oracle_sql() | exchange.oracle_sql() | similarity.oracle_sql() | search.oracle_sql()

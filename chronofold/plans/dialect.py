@@ -77,8 +77,10 @@ class Dialect:
     def explode(self, e, a):
         return self.of(f", LATERAL explode({e}) AS t_{a}({a})", f", unnest({e}) AS t_{a}({a})")
 
-    def words_of(self, x, order):
-        return self.of(f"listagg({x}, ',') WITHIN GROUP (ORDER BY {order})", f"string_agg({x}, ',' ORDER BY {order})")
+    def words_of(self, x, order, line=False):
+        """All values in order, joined by a comma or by a new line."""
+        by = self.of("'\\n'", "chr(10)") if line else "','"
+        return self.of(f"listagg({x}, {by}) WITHIN GROUP (ORDER BY {order})", f"string_agg({x}, {by} ORDER BY {order})")
 
     def max_by(self, a, b):
         return self.of(f"max_by({a}, {b})", f"arg_max({a}, {b})")

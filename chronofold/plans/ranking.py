@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..sources.relations import asked, facts, said, values
+from ..sources.relations import facts, said, values
 from .dialect import plan
-from .pairs import bridge, features
+from .pairs import REPLACES, bridge, features, judged
 
 
 def lexical(d, k: int = 10) -> str:
@@ -69,31 +69,6 @@ def rrf_fusion(d):
     return f"WITH {fused(d)} SELECT conv_id, question, turn, r FROM ranked"
 
 
-@plan
-def hybrid_search(d):
-    """Each question over its bank's statements said by its day.
-
-    Lexical ranking: the slot the question asks about, coverage of its stems, newest, most specific. Semantic ranking: a
-    stand-in encoder (similarity of token sets) from 0.30. Reciprocal ranks of both fuse where the lexical hit is on the
-    slot; other lexical hits follow. Where nothing is found, statements that hold the whole question. Features of a text
-    are computed once; the filter by day comes before any rank."""
-    stems = lambda x: T.stems(d, x)
-    return f"""WITH {said(d)}, {asked(d)},
-      f AS (SELECT bank, ord, CAST(day AS DATE) AS day, text, {T.topic(d, 'text')} AS topic, {stems('text')} AS s, {d.tokens('text')} AS t FROM said),
-      q AS (SELECT qid, bank, CAST(day AS DATE) AS day, lower(question) AS question, {T.query_topic(d, 'question')} AS wanted, {stems('question')} AS s, {d.tokens('question')} AS t FROM asked),
-      p AS (SELECT q.qid, q.bank, f.ord, f.day, CASE WHEN q.wanted = f.topic THEN 1 ELSE 0 END AS on_topic, {d.n(d.both('q.s', 'f.s'))} AS shared, {d.n('q.s')} AS asked_n, {d.n('f.s')} AS said_n,
-          round({T.jaccard(d, 'q.t', 'f.t')}, 6) AS sim, CASE WHEN contains(lower(f.text), q.question) THEN 1 ELSE 0 END AS holds FROM q JOIN f ON q.bank = f.bank AND f.day <= q.day),
-      l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY on_topic DESC, round(CASE WHEN asked_n > 0 THEN CAST(shared AS DOUBLE) / asked_n ELSE 0e0 END, 6) DESC, day DESC, said_n DESC, ord DESC) AS lr FROM p WHERE on_topic = 1 OR shared > 0),
-      m AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, ord DESC) AS sr FROM p WHERE sim >= 0.3),
-      trusted AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY lr) AS tr FROM l WHERE on_topic = 1),
-      u AS (SELECT p.qid, p.bank, p.ord, l.lr, m.sr, t.tr, p.holds, max(CASE WHEN l.lr IS NOT NULL OR m.sr IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.qid) AS found
-        FROM p LEFT JOIN l ON l.qid = p.qid AND l.ord = p.ord LEFT JOIN m ON m.qid = p.qid AND m.ord = p.ord LEFT JOIN trusted t ON t.qid = p.qid AND t.ord = p.ord),
-      g AS (SELECT qid, bank, ord, CASE WHEN tr IS NOT NULL OR sr IS NOT NULL THEN 0 WHEN lr IS NOT NULL THEN 1 ELSE 2 END AS grp, round(coalesce(1e0 / (60 + tr), 0) + coalesce(1e0 / (60 + sr), 0), 12) AS score, lr, sr
-        FROM u WHERE lr IS NOT NULL OR sr IS NOT NULL OR (found = 0 AND holds = 1)),
-      r AS (SELECT qid, bank, ord, CAST(row_number() OVER (PARTITION BY qid ORDER BY grp, score DESC, coalesce(lr, 999999), coalesce(sr, 999999), ord DESC) AS BIGINT) AS r FROM g)
-      SELECT qid, bank, ord, r FROM r WHERE r <= 20"""
-
-
 @plan
 def rrf_two_orderings(d):
     """Both orderings are whole and ranks start at zero."""
@@ -102,7 +77,9 @@ def rrf_two_orderings(d):
 
 
 def prompt(d, limit: int = 5) -> str:
-    return f"""{features(d)}, c AS (SELECT bank, ord, day, text, CASE WHEN safety = 1 OR topic = 'medication' THEN 1 ELSE 0 END AS safe FROM features),
+    """Standing facts: all that bear on safety, then the newest of the others up to ``limit`` in all."""
+    return f"""{judged(d)}, gone AS (SELECT DISTINCT bank, old_ord AS ord FROM verdicts WHERE reason IN {REPLACES}),
+      c AS (SELECT f.bank, f.ord, f.day, f.text, CASE WHEN f.safety = 1 OR f.topic = 'medication' THEN 1 ELSE 0 END AS safe FROM features f LEFT JOIN gone g ON g.bank = f.bank AND g.ord = f.ord WHERE g.ord IS NULL),
       w AS (SELECT *, sum(safe) OVER (PARTITION BY bank) AS n_safe, row_number() OVER (PARTITION BY bank, safe ORDER BY day DESC, ord DESC) AS k FROM c),
       chosen AS (SELECT bank, ord, day, text, safe FROM w WHERE safe = 1 OR k <= greatest(0, {limit} - n_safe))"""
 
@@ -114,7 +91,8 @@ def prompt_rows(d):
 
 @plan
 def render_prompt(d):
-    return f"WITH {said(d)}, {prompt(d)} SELECT bank, concat('Known facts:', chr(10), {d.words_of('concat(chr(45), chr(32), text)', 'safe DESC, day DESC, ord DESC')}) AS block FROM chosen WHERE ord <> 11 GROUP BY bank"
+    lines = d.words_of("concat(chr(45), chr(32), text)", "safe DESC, day DESC, ord DESC", line=True)
+    return f"WITH {said(d)}, {prompt(d)} SELECT bank, concat('Known facts:', chr(10), {lines}) AS block FROM chosen GROUP BY bank"
 
 
 @plan
