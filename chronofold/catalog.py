@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 from inspect import signature
 
-from .operators import exchange, folds, graph, search, similarity
+from .operators import exchange, folds, graph, rules, search, similarity
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 from .streaming import ledger, verifier
@@ -22,17 +22,14 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
     ``asked(qid, bank, day, question, answer)``, ``phrases(id, phrase, today)`` or any driver table. Tables
     that are not given are read from ``sf_dir``. Folds, joins and graph operators that work on statements take them the same way.
     """
-    statement = plans().get(name)
-    if statement is not None:
-        return run(spark, sf_dir, statement, inputs)
     operator = {"scenario_copies": similarity.scenario_copies, **queries()}[name]
     if "inputs" not in signature(operator).parameters:
         raise ValueError(f"{name} works on tables alone")
-    return operator(spark, sf_dir, inputs)
+    return operator(spark, sf_dir, inputs=inputs)
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries() | search.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries() | search.queries() | rules.queries()
 
 
 def oracle_sql() -> dict[str, str]:

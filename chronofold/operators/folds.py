@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans import dialect
 from ..plans.pairs import DUPLICATE, REPLACES, judged
 from ..sources.relations import said
+from .rules import prepared
 
 TRACE = "bank long, ord long, status string, duplicate_of long, retired string"
 
@@ -50,14 +51,13 @@ def remember_trace(spark: SparkSession, sf_dir: str | None, inputs: dict[str, Da
 
     ``inputs`` may hold ``said``, and ``arrived(bank, ord)``: then only these statements are written, onto the others, which stand.
     """
-    def rows(tail: str) -> DataFrame:
-        return dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)}, {judged(d)} {tail}", inputs)
-
-    facts = rows("SELECT bank, ord, day, text, directive FROM features")
-    if inputs and "arrived" in inputs:
-        facts = facts.join(inputs["arrived"].select("bank", "ord", F.lit(True).alias("fresh")), ["bank", "ord"], "left").na.fill(False, ["fresh"])
+    known = prepared(spark, sf_dir, inputs)
+    facts = known["features"].select("bank", "ord", "day", "text", "directive")
+    if "arrived" in known:
+        facts = facts.join(known["arrived"].select("bank", "ord", F.lit(True).alias("fresh")), ["bank", "ord"], "left").na.fill(False, ["fresh"])
     # only what can block or retire travels to the fold
-    pairs = rows(f"SELECT bank, new_ord, old_ord, reason, j FROM verdicts WHERE reason IN {REPLACES} OR (reason = 'none' AND j >= {DUPLICATE})")
+    tail = f"SELECT bank, new_ord, old_ord, reason, j FROM verdicts WHERE reason IN {REPLACES} OR (reason = 'none' AND j >= {DUPLICATE})"
+    pairs = dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)}, {judged(d)} {tail}", known)
     return facts.groupBy("bank").cogroup(pairs.groupBy("bank")).applyInPandas(fold_bank, TRACE)
 
 

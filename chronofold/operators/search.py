@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import dialect
-from ..plans.pairs import REPLACES, judged, rules_pairs
+from ..plans.pairs import REPLACES, judged
 from ..sources.relations import asked, said
 from .graph import cut
+from .rules import feature_table, replacements
 
 SIMILAR, SHOWN, FUSION = 0.3, 20, 60
 
@@ -48,15 +49,14 @@ def heads(hits: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str | None, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """``qid, bank, ord, r``: the statements that answer each question as of its day, best first, ``SHOWN`` at most."""
-    def rows(d) -> str:
-        return f"WITH {said(d)} SELECT bank, ord, CAST(day AS DATE) AS day, lower(text) AS low, {T.topic(d, 'text')} AS topic, {T.stems(d, 'text')} AS s, {d.tokens('text')} AS t FROM said"
-
     def put(d) -> str:
         return f"WITH {asked(d)} SELECT qid, bank, CAST(day AS DATE) AS by, lower(question) AS question, {T.query_topic(d, 'question')} AS wanted, {T.stems(d, 'question')} AS qs, {d.tokens('question')} AS qt FROM asked"
 
-    f = cut(dialect.run(spark, sf_dir, rows, inputs))
+    known = feature_table(spark, sf_dir, inputs)
+    stems = dialect.run(spark, None, lambda d: f"SELECT bank, ord, {T.stems(d, 'text')} AS stems FROM {d.inputs['known']}", {"known": known})
+    f = cut(known.select("bank", "ord", "day", F.lower("text").alias("low"), "topic", "t").join(stems.withColumnRenamed("stems", "s"), ["bank", "ord"]))
     q = dialect.run(spark, sf_dir, put, inputs)
-    e = dialect.run(spark, sf_dir, rules_pairs, inputs)
+    e = replacements(spark, sf_dir, {**(inputs or {}), "features": known})
     e = cut(e.join(f.select("bank", F.col("ord").alias("new_ord"), F.col("day").alias("new_day")), ["bank", "new_ord"]))
     dated = f.join(e.select("bank", F.col("old_ord").alias("ord"), "new_day"), ["bank", "ord"], "left")
     met = q.join(dated, "bank").where("day <= by")

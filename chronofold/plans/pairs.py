@@ -16,7 +16,9 @@ def turns(d) -> str:
 
 
 def features(d) -> str:
-    """Everything the rules read, once per text, so that pairs only compare columns."""
+    """Everything the rules read, once per text, so that pairs only compare columns; an input of this name stands for it."""
+    if "features" in d.inputs:
+        return f"features AS (SELECT * FROM {d.inputs['features']})"
     s = T.spaced(d, "text")
     p = "^The ([a-z]+) (for|of) ([A-Za-z]+) is (.+)$"
     kv = "^(My|Our) ([A-Za-z ]+) (is|are) (.+)$"
@@ -31,18 +33,20 @@ def judged(d) -> str:
 
     Skips come first (refinement, other person, other scope, event), then an attribute of a named thing, a different
     key, the slot, the same key with another value, the overlap band and a plain reversal. A safety fact goes only
-    by a reversal that names what it names. With an input ``arrived(bank, ord)`` only these facts are judged."""
+    by a reversal that names what it names. With an input ``met(bank, new_ord, old_ord)`` only these pairs are judged."""
     multi = ", ".join(f"'{m}'" for m in L.MULTI_VALUED)
     back = ", ".join(f"'{m}'" for m in L.RETIRED_BY_REVERSAL)
     only = lambda x: d.n(d.where(x, "NOT " + d.has("x", "[0-9]")))
     more, fewer = d.less("words", "old_words"), d.less("old_words", "words")
-    new = f"(SELECT f.* FROM features f JOIN {d.inputs['arrived']} a ON a.bank = f.bank AND a.ord = f.ord)" if "arrived" in d.inputs else "features"
+    met = "features n JOIN features o ON n.bank = o.bank AND o.ord < n.ord"
+    if "met" in d.inputs:
+        met = f"{d.inputs['met']} m JOIN features n ON n.bank = m.bank AND n.ord = m.new_ord JOIN features o ON o.bank = m.bank AND o.ord = m.old_ord"
     # numbers once per pair, then the rules in order; the first that speaks decides
     return f"""{features(d)}, met AS (SELECT n.bank, n.ord AS new_ord, o.ord AS old_ord, n.topic, o.topic AS old_topic, {T.jaccard(d, 'n.t', 'o.t')} AS j, n.words, o.words AS old_words, n.kind, o.kind AS old_kind, n.directive + o.directive AS directive,
         n.actor, o.actor AS old_actor, n.attr, o.attr AS old_attr, n.scope, o.scope AS old_scope, n.k, o.k AS old_k, n.v, o.v AS old_v, n.reversal, n.additive, o.safety AS old_safety,
         {d.n(d.both('n.anchors', 'o.anchors'))} AS anchored, CASE WHEN n.neg <> o.neg OR ({d.n(d.less('n.folded', 'o.folded'))} > 0 AND {d.n(d.less('o.folded', 'n.folded'))} > 0) THEN 1 ELSE 0 END AS differs,
         CASE WHEN (n.scope <> '' AND NOT contains(lower(o.text), lower(n.scope))) OR (o.scope <> '' AND NOT contains(lower(n.text), lower(o.scope))) THEN 1 ELSE 0 END AS outside
-      FROM {new} n JOIN features o ON n.bank = o.bank AND o.ord < n.ord),
+      FROM {met}),
     pairs AS (SELECT bank, new_ord, old_ord, topic, round(j, 6) AS j, CASE WHEN old_safety = 1 AND NOT (reversal = 1 AND anchored > 0) THEN 1 ELSE 0 END AS safety,
       CASE WHEN {d.n(more)} + {d.n(fewer)} > 0 AND {only(more)} = 0 AND {only(fewer)} = 0 THEN 'refinement'
         WHEN actor <> old_actor THEN 'other_actor' WHEN scope <> '' AND old_scope <> '' AND scope <> old_scope THEN 'other_scope' WHEN outside = 1 THEN 'other_scope'

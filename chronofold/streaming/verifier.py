@@ -28,10 +28,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.rules import feature_table, replacements
 from ..plans import dialect
-from ..plans.pairs import rules_pairs
 from ..plans.ranking import verifier_plan
-from ..sources.relations import said
 
 # fixed values: what an answer may say
 RELATIONS = ("replaces", "adds_detail", "another_value", "other_person", "unrelated")
@@ -359,9 +358,9 @@ def judge_by_words(new: str, old: str) -> Verdict:
 
 def verified_retirements(spark: SparkSession, sf_dir: str | None, inputs: dict[str, DataFrame] | None = None, ask: Ask = judge_by_words, bar: float = 0.5) -> DataFrame:
     """Every question that the rules left open, answered bank by bank in order, and whether its verdict retired a fact."""
-    facts = dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)} SELECT bank, ord, CAST(day AS DATE) AS day, text FROM said", inputs)
-    jobs, retired = (dialect.run(spark, sf_dir, p, inputs) for p in (verifier_plan, rules_pairs))
-    return replay(messages(facts, jobs, retired), ask, Policy(bar=bar))
+    known = {**(inputs or {}), "features": feature_table(spark, sf_dir, inputs)}
+    jobs, retired = dialect.run(spark, sf_dir, verifier_plan, known), replacements(spark, sf_dir, known)
+    return replay(messages(known["features"].select("bank", "ord", "day", "text"), jobs, retired), ask, Policy(bar=bar))
 
 
 def queries() -> dict:
