@@ -43,12 +43,16 @@ def _rows(spark, name):
 def test_time_phrases(spark):
     span = {r.id: (r.lo, r.hi) for r in _rows(spark, "resolve_time_phrase")}
     day = dt.date
-    assert span[3] == (day(2025, 3, 1), day(2025, 3, 31))  # a month still running is last year's
-    assert span[5] == span[6] == (day(2024, 12, 1), day(2025, 2, 28))
-    assert span[7] == (day(2026, 7, 19), day(2026, 8, 18))
-    assert span[9] == (day(2025, 7, 4), day(2026, 1, 2))
-    assert span[16] == (day(2026, 3, 11), day(2026, 3, 20))
-    assert span[14] == (day(2026, 10, 3), day(2026, 10, 3))  # now is a span of one day
+    assert span[3] == (day(2023, 4, 1), day(2023, 4, 30))  # a month still running is last year's
+    assert span[5] == span[6] == (day(2022, 12, 1), day(2023, 2, 28))
+    assert span[7] == (day(2024, 2, 5), day(2024, 3, 6))
+    assert span[9] == (day(2023, 2, 18), day(2023, 8, 19))
+    assert span[16] == (day(2023, 6, 11), day(2023, 6, 20))
+    assert span[14] == (day(2024, 5, 20), day(2024, 5, 20))  # now is a span of one day
+    assert span[20] == span[21] == span[22] == span[23] == (None, None)  # no span outside the years 1 to 9999
+    edge = spark.createDataFrame([(1, "2023 years ago", "2024-05-20"), (2, "on 9999-12-31", "2024-05-20"), (3, "in 9999-12", "2024-05-20"), (4, "4000001 days ago", "2024-05-20"), (5, "4000000 years ago", "2024-05-20")], "id long, phrase string, today string")
+    got = {r.id: (r.lo, r.hi) for r in catalog.apply(spark, "resolve_time_phrase", phrases=edge).collect()}
+    assert got == {1: (day(1, 2, 18), day(1, 8, 19)), 2: (day(9999, 12, 31),) * 2, 3: (day(9999, 12, 1), day(9999, 12, 31)), 4: (None, None), 5: (None, None)}
 
 
 def test_supersession_cases(spark):
