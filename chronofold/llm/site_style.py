@@ -5,11 +5,15 @@ that its pages share. Over the different pages that have a node, the entropy of
 its children) and of its content (its text) says how important it is: a menu or notice repeats, an article
 does not. Branches of low importance are removed from each page.
 
+Addresses of one article are one page: pages of a host with the same main text count once. Inside an article a
+branch falls only if ``FEW`` different pages share it, and none falls that holds the larger part of the article.
+
 What entropy cannot tell goes by what the page declares: elements that are no content by their meaning (nav,
 footer, form ...), and containers named as adverts, reader comments or consent notices, whose text varies
-although it is no article. Any other name, such as "header" or "related", only counts outside an article or
-main element. Outside such an element, in pages that have one, a branch stays only if the host's pages prove
-it to be important.
+although it is no article. A name speaks only where all its words do: "comments-area" does, "comment-piece" does not.
+Other names, such as "header" or "related", only count outside an article or main element, and not for a branch that holds
+the larger part of a page without one. Outside an article, in pages that have one, a branch stays only if the
+host's pages prove it to be important. A page that would lose all its text to the style tree keeps it.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .common import materialise, small_batches
 CONTENT_SHARE = 0.9
 #: Branches below this importance go. A node of one page has importance one.
 IMPORTANCE = 0.35
+#: Different pages that must share a branch before it can fall inside an article, and the share of the text that a branch needs to be the main one.
+FEW, MAIN = 4, 0.5
 #: Nodes of low or proven importance that are sent to every task, at most; more are dealt to the pages by host.
 BROADCAST_NODES = 300_000
 #: Parts that a host's pages are dealt in when they meet its nodes, so that a hot host is spread.
@@ -47,10 +53,14 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
             "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("table td th ul ol dl html body article section main div aside nav header footer form blockquote".split())
+#: What the start of an element ends, and what that does not reach beyond.
+_ENDS = {t: (ends, SCOPES - ends) for t in CLOSES_P | SIBLINGS.keys() for ends in [{*SIBLINGS.get(t, ()), *(("p",) if t in CLOSES_P else ())}]}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Names that say no content wherever a container has them, and names that say so outside an article only.
 STRONG = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored comment comments comentarios kommentare commentaires disqus respond cookie cookies consent gdpr newsletter subscribe subscription".split())
 WEAK = frozenset("banner promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side header masthead footer foot reply replies notice notification popup modal overlay signup login share sharing social related recommended recommendations widget toolbar pagination pager skip copyright legal".split())
+#: Words that say nothing about what a container holds.
+NEUTRAL = frozenset("area block body bottom box bar center col column container content form group holder id inner item items js left list main module outer panel post row right section site slot text the thread top unit view wrap wrapper zone".split())
 CONTAINERS = frozenset("div section ul ol dl table aside center iframe fieldset ins".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|([!?][^>]*)(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)(>|\Z)|(/[^A-Za-z][^>]*)(?:>|\Z))", re.S)
@@ -62,10 +72,10 @@ _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Element:
     """``noise``: 2 no content anywhere, 1 outside an article only, 0 not declared."""
 
-    __slots__ = ("tag", "sign", "noise", "children")
+    __slots__ = ("tag", "sign", "noise", "children", "size")
 
     def __init__(self, tag: str, sign: str, noise: int):
-        self.tag, self.sign, self.noise, self.children = tag, sign, noise, []
+        self.tag, self.sign, self.noise, self.children, self.size = tag, sign, noise, [], 0
 
 
 def _element(tag: str, attributes: str) -> Element:
@@ -76,7 +86,9 @@ def _element(tag: str, attributes: str) -> Element:
     for m in _ATTR.finditer(attributes):
         got.setdefault(m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
-    words = set(_WORD.findall(_SPLIT.sub(" ", names).lower())) if tag not in ("html", "body") else set()
+    said = [set(_WORD.findall(_SPLIT.sub(" ", name).lower())) for name in names.split()] if tag not in ("html", "body") else []
+    # a name counts if every word of it does
+    words = set().union(*(w for w in said if w <= STRONG | WEAK | NEUTRAL))
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").lower().replace(" ", "")
     if hidden or got.get("role", "").lower() in ROLES or (words & STRONG and tag in CONTAINERS):
         drop = 2
@@ -89,10 +101,16 @@ def parse(page: str | None) -> Element:
     """A tree of elements and text pieces; tolerant of unclosed, misnested and cut markup."""
     root = Element("#root", "", 0)
     stack, text, at, size = [root], page or "", 0, len(page or "")
+    places: dict[str, list[int]] = {}  # where the open elements of each tag are
 
     def close(to: int) -> None:
+        for node in stack[to:]:
+            places[node.tag].pop()
         del stack[to:]
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < size:
         lt = text.find("<", at)
         if lt < 0:
@@ -112,21 +130,16 @@ def parse(page: str | None) -> Element:
             break
         tag = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("article", "body", "td") and tag in INLINE:
-                    break
+            k = last((tag,))
+            if k and not (tag in INLINE and last(("article", "body", "td")) > k):
+                close(k)
             continue
         if tag in CLOSES_P or tag in SIBLINGS:
-            ends = SIBLINGS.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" and tag in CLOSES_P or stack[k].tag in ends:
-                    close(k)
-                    if tag in CLOSES_P:
-                        break
-                elif stack[k].tag in SCOPES:
+            ends, scopes = _ENDS[tag]
+            bound = last(scopes)
+            while (k := last(ends)) > bound:
+                close(k)
+                if tag in CLOSES_P:
                     break
         node = _element(tag, m[4])
         stack[-1].children.append(node)
@@ -134,10 +147,47 @@ def parse(page: str | None) -> Element:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
             at = end.end() if end else size
         elif tag not in VOID and not m[4].rstrip().endswith("/") or tag not in VOID and tag not in INLINE:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
+    _measure(root)
     return root
 
 
+def _measure(root: Element) -> None:
+    """``size`` of every element: the characters of its text that are not blank, without what is never content."""
+    order, queue = [], [root]
+    while queue:
+        node = queue.pop()
+        order.append(node)
+        queue += [c for c in node.children if isinstance(c, Element)]
+    for node in reversed(order):
+        node.size = sum(len(c) - c.count(" ") - c.count("\n") if isinstance(c, str) else c.size for c in node.children) if node.noise < 2 else 0
+
+
+def main_hash(root: Element) -> int:
+    """What a page is about, for telling addresses of one article from different pages: the text of its first article or main element, else of the page."""
+    queue, at = [root], 0
+    while at < len(queue):
+        inner = [c for c in queue[at].children if isinstance(c, Element) and c.noise < 2]
+        best = next((c for c in inner if c.tag in CONTENT and c.size), None)
+        if best is not None:
+            root = best
+            break
+        queue += inner
+        at += 1
+    said, stack = [], [iter(root.children)]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                said += c.split()
+            elif c.noise < 2:
+                stack.append(iter(c.children))
+                break
+        else:
+            stack.pop()
+    return _hash(*said)
+
+
 def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -169,12 +219,18 @@ def style_nodes(root: Element) -> list[tuple[int, int, int]]:
     return [(path, _hash(*(a for a, _ in x)), _hash(*(b for _, b in x))) for path, x in places.items()]
 
 
-def main_text(root: Element, importance: dict[int, bool] | None = None) -> str:
+def main_text(root: Element, importance: dict[int, int] | None = None) -> str:
     """The text left after removing noise and unimportant branches; blocks joined by an empty line.
 
-    ``importance`` has the paths that the host's pages prove to be important (True) or of no importance (False).
+    ``importance`` has the paths that the host's pages prove to be important (1), of no importance (-1), or so by too few pages to
+    say it inside an article (0).
     """
     known = importance or {}
+    found = _main_text(root, known)
+    return found if found or not known else _main_text(root, {})
+
+
+def _main_text(root: Element, known: dict[int, int]) -> str:
     blocks: list[str] = []
     run: list[str] = []
     has_content, queue = False, [root]
@@ -189,8 +245,8 @@ def main_text(root: Element, importance: dict[int, bool] | None = None) -> str:
         if block:
             blocks.append(block)
 
-    # node, its path, the children to come, whether inside content, whether its text is read
-    stack = [(root, 0, iter(root.children), False, not has_content)]
+    # node, its path, the children to come, the size of the content element it is in (none: 0), whether its text is read
+    stack = [(root, 0, iter(root.children), 0, not has_content)]
     while stack:
         node, path, rest, inside, read = stack[-1]
         for c in rest:
@@ -199,10 +255,12 @@ def main_text(root: Element, importance: dict[int, bool] | None = None) -> str:
                     run.append(entities.unescape(c))
                 continue
             here = _hash(path, c.sign)
-            content = inside or c.tag in CONTENT
-            # inside an article only branches with a presentation of their own can be told from its text
-            poor = known.get(here) is False and (not content or (inside and "." in c.sign))
-            if c.noise == 2 or poor or (c.noise == 1 and not inside):
+            content = inside or (c.tag in CONTENT and max(1, c.size))
+            # inside an article only branches with a presentation of their own can be told from its text, and not its main one
+            level = known.get(here)
+            poor = level is not None and level < 1 and (not content or (inside and level < 0 and "." in c.sign and c.size < MAIN * inside))
+            weak = c.noise == 1 and not inside and (has_content or c.size < MAIN * root.size)
+            if c.noise == 2 or poor or weak:
                 if c.tag not in INLINE:
                     flush()
                 continue
@@ -210,7 +268,7 @@ def main_text(root: Element, importance: dict[int, bool] | None = None) -> str:
                 flush()
             elif c.tag == "br":
                 run.append(" ")
-            proven = known.get(here) is True and c.tag not in ("html", "body")
+            proven = level == 1 and c.tag not in ("html", "body")
             stack.append((c, here, iter(c.children), content, content or read or proven))
             break
         else:
@@ -232,7 +290,7 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """``host, path, pages, importance``: the merged style trees of all hosts.
 
     importance = (1 - CONTENT_SHARE) * H(presentation) / log m + CONTENT_SHARE * H(content) / log m over the m
-    different pages that have the node; 1 where m = 1. Pages of a host that are copies of each other count once.
+    different pages that have the node; 1 where m = 1. Pages of a host with the same main text count once.
     Counts are made per (host, path, hash), so a host with a third of all pages is spread over all tasks.
     """
     small_batches(df.sparkSession)
@@ -241,8 +299,9 @@ def style_tree(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for pdf in batches:
             rows = []
             for url, page in zip(pdf["url"], pdf["html"]):
-                nodes = np.array(style_nodes(parse(page)), dtype="<i8").reshape(-1, 3)
-                rows.append((_host(url), _hash(page or ""), nodes[:, 0], nodes[:, 1], nodes[:, 2]))
+                root = parse(page)
+                nodes = np.array(style_nodes(root), dtype="<i8").reshape(-1, 3)
+                rows.append((_host(url), main_hash(root), nodes[:, 0], nodes[:, 1], nodes[:, 2]))
             yield pd.DataFrame(rows, columns=["host", "page", "path", "shown", "said"])
 
     pages = df.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "host string, page long, path array<long>, shown array<long>, said array<long>")
@@ -264,12 +323,12 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     extracted each, but count once in the tree; an empty table gives an empty result; further columns are ignored.
     """
     spark = df.sparkSession
-    tree = materialise(style_tree(df, url_col, html_col).where("pages > 1").select("host", "path", (F.col("importance") >= IMPORTANCE).alias("high")), "style-tree")
+    tree = materialise(style_tree(df, url_col, html_col).where("pages > 1").select("host", "path", F.when(F.col("importance") >= IMPORTANCE, 1).when(F.col("pages") < FEW, 0).otherwise(-1).alias("high")), "style-tree")
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     fields = "id long, url string, text string, n_chars long"
 
     if tree.count() <= BROADCAST_NODES:
-        known: dict[str, dict[int, bool]] = {}
+        known: dict[str, dict[int, int]] = {}
         for r in tree.collect():
             known.setdefault(r["host"], {})[r["path"]] = r["high"]
         shared = spark.sparkContext.broadcast(known)
@@ -286,7 +345,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                         F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     get_host = F.pandas_udf(lambda x: x.map(_host), "string")
     dealt = pages.select(get_host("url").alias("host"), F.pmod(F.xxhash64("id", "url", F.length("html")), F.lit(SALTS)).cast("int").alias("salt"),
-                         F.lit(None).cast("long").alias("path"), F.lit(None).cast("boolean").alias("high"), "id", "url", "html")
+                         F.lit(None).cast("long").alias("path"), F.lit(None).cast("int").alias("high"), "id", "url", "html")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, known = None, {}
@@ -296,7 +355,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 if (host, salt) != here:
                     here, known = (host, salt), {}
                 if high is not None and not pd.isna(high):
-                    known[int(path)] = bool(high)
+                    known[int(path)] = int(high)
                 else:
                     text = main_text(parse(page), known)
                     out.append((None if pd.isna(pid) else int(pid), url, text, len(text)))
