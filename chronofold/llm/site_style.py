@@ -37,7 +37,7 @@ CONTENT_SHARE = 0.9
 #: Branches below this importance go. A node of one page has importance one.
 IMPORTANCE = 0.35
 #: Different pages that must share a branch before it can fall inside an article, and the share of the text that a branch needs to be the main one.
-FEW, MAIN = 4, 0.5
+FEW, MAIN = 2, 0.5
 #: Nodes of low or proven importance that are sent to every task, at most; more are dealt to the pages by host.
 BROADCAST_NODES = 300_000
 #: Parts that a host's pages are dealt in when they meet its nodes, so that a hot host is spread.
