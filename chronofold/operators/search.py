@@ -52,11 +52,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str | None, inputs: dict[str, Dat
     def put(d) -> str:
         return f"WITH {asked(d)} SELECT qid, bank, CAST(day AS DATE) AS by, lower(question) AS question, {T.query_topic(d, 'question')} AS wanted, {T.stems(d, 'question')} AS qs, {d.tokens('question')} AS qt FROM asked"
 
-    known = feature_table(spark, sf_dir, inputs)
+    q = cut(dialect.run(spark, sf_dir, put, inputs))
+    # banks that nobody asks about are not read further
+    told = dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)} SELECT bank, ord, day, text FROM said", inputs).join(q.select("bank").distinct(), "bank", "left_semi")
+    known = feature_table(spark, None, {"said": told})
     stems = dialect.run(spark, None, lambda d: f"SELECT bank, ord, {T.stems(d, 'text')} AS stems FROM {d.inputs['known']}", {"known": known})
     f = cut(known.select("bank", "ord", "day", F.lower("text").alias("low"), "topic", "t").join(stems.withColumnRenamed("stems", "s"), ["bank", "ord"]))
-    q = dialect.run(spark, sf_dir, put, inputs)
-    e = replacements(spark, sf_dir, {**(inputs or {}), "features": known})
+    e = replacements(spark, None, {"said": told, "features": known})
     e = cut(e.join(f.select("bank", F.col("ord").alias("new_ord"), F.col("day").alias("new_day")), ["bank", "new_ord"]))
     dated = f.join(e.select("bank", F.col("old_ord").alias("ord"), "new_day"), ["bank", "ord"], "left")
     met = q.join(dated, "bank").where("day <= by")
