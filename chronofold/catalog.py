@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 from inspect import signature
 
-from .operators import exchange, folds, graph, lifecycle, rules, search, similarity
+from .operators import exchange, folds, graph, lifecycle, rules, search, similarity, vectors
 from .plans import datasets, metrics, pairs, ranking, temporal, text
 from .plans.dialect import DUCK, plans, run
 from .streaming import ledger, verifier
@@ -29,7 +29,7 @@ def apply(spark, name: str, sf_dir: str | None = None, **inputs):
 
 
 def queries() -> dict:
-    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries() | search.queries() | rules.queries() | lifecycle.queries()
+    return {name: partial(run, statement=p) for name, p in plans().items()} | folds.queries() | graph.queries() | verifier.queries() | ledger.queries() | exchange.queries() | similarity.queries() | search.queries() | rules.queries() | lifecycle.queries() | vectors.queries()
 
 
 def oracle_sql() -> dict[str, str]:
