@@ -25,6 +25,16 @@ def test_pagerank_equals_brute_force(spark):
     assert sorted(scores) == facts and np.allclose([scores[f] for f in facts], m)
 
 
+def test_pagerank_walks_only_where_the_seeds_reach(spark, monkeypatch):
+    pairs = [(f + 100 * part, n + 100 * part) for part in range(6) for f in range(9) for n in (f // 2, f % 3)]
+    written = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: (written.append((out.columns, out.count())), out)[1])(keep(df)))
+    got = {r.fact: r.score for r in graph.pagerank(spark.createDataFrame(pairs, "fact long, node long"), spark.createDataFrame([(0, 1.0)], "fact long, mass double"), rounds=4).collect()}
+    assert len(got) == 54 and abs(sum(got.values()) - 1) < 1e-9 and all((v > 0) == (f < 100) for f, v in got.items())
+    assert [n for columns, n in written if columns == ["fact", "m"]] == [9] * 4
+
+
 def test_long_chains_and_cycles(spark):
     steps = [(1, f"f{i}", f"f{i + 1}") for i in range(200)] + [(2, "a", "b"), (2, "b", "a"), (2, "c", "a")]
     got = {(r.bank, r.folder): r.canon for r in graph.chain_ends(spark.createDataFrame(steps, "bank long, folder string, into_folder string")).collect()}
