@@ -1,5 +1,7 @@
 """Loops over links against brute force, and operators on the caller's own DataFrames."""
 
+from pathlib import Path
+
 import numpy as np
 
 from chronofold import catalog
@@ -35,6 +37,14 @@ def test_pagerank_walks_only_where_the_seeds_reach(spark, monkeypatch):
     assert [n for columns, n in written if columns == ["fact", "m"]] == [9] * 4
 
 
+def test_components_leave_one_round_on_disk(spark):
+    folder = Path(graph.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("graph-*"))
+    got = graph.components(spark.createDataFrame([(1, i, i + 1) for i in range(40)] + [(2, 5, 6)], "bank long, a long, b long"))
+    assert len(set(folder.glob("graph-*")) - before) == 1
+    assert {(r.bank, r.name): r.component for r in got.collect()} == {**{(1, i): 0 for i in range(41)}, (2, 5): 5, (2, 6): 5}
+
+
 def test_long_chains_and_cycles(spark):
     steps = [(1, f"f{i}", f"f{i + 1}") for i in range(200)] + [(2, "a", "b"), (2, "b", "a"), (2, "c", "a")]
     got = {(r.bank, r.folder): r.canon for r in graph.chain_ends(spark.createDataFrame(steps, "bank long, folder string, into_folder string")).collect()}
