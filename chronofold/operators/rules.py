@@ -37,45 +37,51 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def by_number(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with the numbers of their texts in place of these."""
-    return rows.join(texts.withColumnRenamed("text", "same"), F.col("text").eqNullSafe(F.col("same"))).drop("text", "same")
+    """``rows`` with what ``texts`` say of their texts."""
+    return rows.join(texts.withColumnRenamed("text", "same"), F.col("text").eqNullSafe(F.col("same"))).drop("same")
 
 
-def judged_texts(statement, texts: DataFrame, met: DataFrame) -> DataFrame:
-    """What ``statement`` says of the pairs ``met(new, old)`` of ``numbered`` texts, as if each were two statements of one bank."""
-    spark = texts.sparkSession
-    told = {"said": texts.selectExpr("0 AS bank", "tid AS ord", "CAST(NULL AS STRING) AS day", "text")}
-    f = cut(dialect.run(spark, None, lambda d: f"WITH {said(d)}, {pairs.features(d)} SELECT * FROM features", told))
+def text_features(texts: DataFrame) -> DataFrame:
+    """What the rules read of ``numbered`` texts, each as a statement of bank 0 in the place of its number."""
+    told = texts.selectExpr("0 AS bank", "tid AS ord", "CAST(NULL AS STRING) AS day", "text")
+    return cut(dialect.run(texts.sparkSession, None, lambda d: f"WITH {said(d)}, {pairs.features(d)} SELECT * FROM features", {"said": told}))
+
+
+def judged_texts(statement, features: DataFrame, met: DataFrame) -> DataFrame:
+    """What ``statement`` says of the pairs ``met(new, old)`` of texts, each once, as if they were statements of one bank."""
+    spark = features.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(met.repartition(parts, "new", "old").distinct().selectExpr("CAST(0 AS BIGINT) AS bank", "new AS new_ord", "old AS old_ord"))
-    return dialect.run(spark, None, statement, {**told, "features": f, "met": met})
+    met = cut(met.distinct().repartition(parts, "new", "old").selectExpr("CAST(0 AS BIGINT) AS bank", "new AS new_ord", "old AS old_ord"))
+    return dialect.run(spark, None, statement, {"said": features.select("bank", "ord", "day", "text"), "features": features, "met": met})
 
 
 def may_replace(spark: SparkSession, sf_dir: str | None, inputs: Inputs = None) -> DataFrame:
     """``bank, new_ord, old_ord`` of all pairs of a bank whose newer statement may replace the older one."""
     rows = cut(dialect.run(spark, sf_dir, lambda d: f"WITH {said(d)} SELECT bank, ord, text FROM said", inputs))
     texts = numbered(rows)
-    placed = cut(by_number(rows, texts))
+    placed = cut(by_number(rows, texts).drop("text"))
     held = placed.groupBy("bank", "tid").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     new, old = held.select("bank", F.col("tid").alias("new"), "last"), held.select("bank", F.col("tid").alias("old"), "first")
-    may = judged_texts(pairs.may_replace, texts, new.join(old, "bank").where("first < last").select("new", "old"))
+    may = judged_texts(pairs.may_replace, text_features(texts), new.join(old, "bank").where("first < last").select("new", "old"))
     may = cut(may.select(F.col("new_ord").alias("new"), F.col("old_ord").alias("old")))
     new, old = (placed.select("bank", F.col("tid").alias(s), F.col("ord").alias(f"{s}_ord")) for s in ("new", "old"))
     return new.join(old, "bank").where("old_ord < new_ord").join(may, ["new", "old"]).select("bank", "new_ord", "old_ord")
 
 
-def deciding_pairs(f: DataFrame, arrived: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+def deciding_pairs(f: DataFrame, arrived: DataFrame | None = None, answers: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """``bank, new_ord, old_ord`` of all pairs that any deciding rule or the duplicate test can speak about; with ``arrived(bank, ord)`` or
-    ``answers(bank, old_ord)`` only those with a new or an old side of these, which no other pair is made for."""
+    ``answers(bank, old_ord)`` only those with a new or an old side of these, which no other pair is made for. Not ``ordered``, either side of a
+    pair may be the new one, and one row both."""
+    before = "old_ord < new_ord" if ordered else "true"
     later = f if arrived is None else f.join(arrived.select("bank", "ord"), ["bank", "ord"], "left_semi")
     earlier = f if answers is None else f.join(answers.withColumnRenamed("old_ord", "ord"), ["bank", "ord"], "left_semi")
 
     def equal(column: str, where: str) -> DataFrame:
         new, old = (rows.where(where).select("bank", F.col(column).alias("same"), F.col("ord").alias(side)) for rows, side in ((later, "new_ord"), (earlier, "old_ord")))
-        return new.join(old, ["bank", "same"]).where("old_ord < new_ord").select("bank", "new_ord", "old_ord")
+        return new.join(old, ["bank", "same"]).where(before).select("bank", "new_ord", "old_ord")
 
     anchors = lambda rows, side: rows.select("bank", F.col("ord").alias(side), F.explode("anchors").alias("same"))
-    named = anchors(later.where("reversal = 1"), "new_ord").join(anchors(earlier, "old_ord"), ["bank", "same"]).where("old_ord < new_ord").select("bank", "new_ord", "old_ord")
+    named = anchors(later.where("reversal = 1"), "new_ord").join(anchors(earlier, "old_ord"), ["bank", "same"]).where(before).select("bank", "new_ord", "old_ord")
     sets = f.where(F.size("t") > 0).groupBy("bank", "t").agg(F.min("ord").alias("id"), F.collect_list("ord").alias("ords"))
     sets = cut(sets)
     like = jaccard_join(sets.select(F.col("bank").alias("key"), "id", "t"), pairs.OVERLAP).select("key", "a", "b")
@@ -87,7 +93,7 @@ def deciding_pairs(f: DataFrame, arrived: DataFrame | None = None, answers: Data
     if answers is not None:
         old_side = old_side.join(answers.withColumnRenamed("bank", "key"), ["key", "old_ord"], "left_semi")
     alike = (like.join(new_side, ["key", "a"]).join(old_side, ["key", "b"])
-             .where("old_ord < new_ord").select(F.col("key").alias("bank"), "new_ord", "old_ord"))
+             .where(before).select(F.col("key").alias("bank"), "new_ord", "old_ord"))
     met = equal("topic", "topic IS NOT NULL").unionByName(equal("attr", "attr <> ''")).unionByName(equal("k", "k <> ''")).unionByName(named).unionByName(alike)
     return met.distinct()
 
