@@ -15,9 +15,9 @@ work: no language, source or frequent term gathers in one task, and joins on a g
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -36,48 +36,45 @@ GROUPS, TERMS, SALTS = 64, 512, 32
 #: Terms that a task counts, and pairs that it corrects, before it hands on what it has.
 HELD, PAIRS = 300_000, 1 << 20
 
-terms_of = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+").findall
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
+#: In UTF-8 a term is a run of letters and of bytes from 0x80: all other bytes become spaces, A-Z become a-z.
+_TERM_BYTES = bytes(c + 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+
+
+def counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs`` of ``lang, source, text``, handed on when ``most`` terms are held."""
+    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}  # occurrences and documents of a group's terms
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = pa.array(n.keys(), pa.binary(), size=len(n)).cast(pa.string())
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), terms]
+            columns += [pa.array(n.values(), pa.int64(), size=len(n)), pa.array(map(docs.__getitem__, n), pa.int64(), size=len(n))]
+            yield pa.record_batch(columns, names=["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        langs, sources, texts = batch.columns
+        for lang, source, text in zip(langs.to_pylist(), sources.to_pylist(), texts.cast(pa.large_binary()).to_pylist()):
+            n, docs = held.get((lang, source)) or held.setdefault((lang, source), (Counter(), Counter()))
+            before = len(n)
+            terms = text.translate(_TERM_BYTES).split()
+            n.update(terms)
+            docs.update(set(terms))
+            n[b""] += 1
+            docs[b""] += 1
+            size += len(n) - before
+            if size >= most:
+                yield from flush()
+                held, size = {}, 0
+    yield from flush()
 
 
 def term_counts(df: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents of every term in every group; the term '' counts the group's documents."""
     small_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[str, list[int]]] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, source, term, n, docs) for (lang, source), own in held.items() for term, (n, docs) in own.items()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            columns = zip(*rows) if rows else [()] * 5
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "term", "n", "docs"])
-
-        for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = held.setdefault((lang, source), {})
-                before = len(own)
-                here: dict[str, int] = {"": 1}
-                for term in terms_of(text.translate(_LOWER) if not text.isascii() else text.lower()):
-                    here[term] = here.get(term, 0) + 1
-                for term, n in here.items():
-                    at = own.get(term)
-                    if at is None:
-                        own[term] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                size += len(own) - before
-                if size >= HELD:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
-
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    part = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    part = rows.mapInArrow(partial(counted, most=HELD), "lang string, source string, term string, n long, docs long")
     return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
