@@ -39,6 +39,8 @@ FOLDS = 4
 MOST_SAMPLES = 100_000
 #: The same search for both dictionaries, thorough enough that neither misses a match that it holds.
 SEARCH = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
+#: Bytes of the shortest match, and bits of the places in the table of the toxic dictionary's runs of so many bytes.
+GRAM, PLACES = SEARCH["min_match"], 20
 #: Words of a window and between the starts of two; characters of a window of a run without spaces.
 WINDOW, STEP, RUN = 2, 1, 32
 #: Both dictionaries end with this and every window stands between two of it: inputs of a few bytes are stored raw, and
@@ -111,6 +113,17 @@ def _train(samples: list[bytes], size: int) -> bytes:
     return flat[-size:]
 
 
+def _gram_places(data: np.ndarray) -> np.ndarray:
+    """A place in a table for each run of ``GRAM`` bytes."""
+    if len(data) < GRAM:
+        return np.zeros(0, dtype=np.uint32)
+    wide = data.astype(np.uint32)
+    code = wide[: len(data) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        code |= wide[k : len(data) - GRAM + 1 + k] << np.uint32(8 * k)
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - PLACES)
+
+
 @dataclass
 class ToxicModel:
     toxic: bytes
@@ -128,12 +141,33 @@ class ToxicModel:
 
 
 class WindowScorer(dict):
-    """Measures the windows of texts with both dictionaries; a window's saving is remembered, as copies repeat theirs."""
+    """Measures the windows of texts with both dictionaries; a window's saving is remembered, as copies repeat theirs.
+
+    A match is ``min_match`` bytes at least, and the toxic dictionary's places are tried after all others. A window that holds no
+    such run of bytes from it is compressed alike by both and saves nothing: only the other windows are measured."""
 
     def __init__(self, model: ToxicModel):
         super().__init__()
         ordinary, toxic = model.compressors()
         self.weights, self.ordinary, self.toxic = np.array(model.weights), ordinary.compress, toxic.compress
+        data, n = model.toxic + (model.ordinary + LEAD)[: GRAM - 1], GRAM
+        grams = {data[k : k + n] for k in range(len(data) - n + 1)} if model.toxic else set()
+        # runs that reach into what stands around a window are not looked for, so none of the dictionary's may be one of these
+        edges = tuple(LEAD[-k:] for k in range(1, n)), tuple(LEAD[:k] for k in range(1, n))
+        self.skips = not any(g in LEAD or g.startswith(edges[0]) or g.endswith(edges[1]) for g in grams)
+        self.places = np.zeros(1 << PLACES, dtype=bool)
+        if grams:
+            self.places[_gram_places(np.frombuffer(b"".join(grams), dtype=np.uint8))[::n]] = True
+
+    def worth(self, words: list[bytes]) -> list[bytes]:
+        """The windows of two words, none long, that hold a run of bytes from the toxic dictionary (and a few that may not)."""
+        flat = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        seen = np.zeros(len(flat) + 1, dtype=np.int64)
+        np.cumsum(self.places[_gram_places(flat)], out=seen[1 : max(1, len(flat) - GRAM + 2)])
+        last = np.maximum(ends[1:] - GRAM + 1, starts[:-1])
+        return [words[k] + b" " + words[k + 1] for k in np.flatnonzero(seen[last] > seen[starts[:-1]]).tolist()]
 
     def __missing__(self, window: bytes) -> int:
         framed = LEAD + window + LEAD
@@ -148,8 +182,13 @@ class WindowScorer(dict):
 
     def counts(self, text: str | None) -> list[int]:
         """How many windows save at least each of the gaps, and how many windows there are."""
-        saved = self.savings(text)
-        return [*(sum(s >= gap for s in saved) for gap in GAPS), len(saved)]
+        words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+        if self.skips and len(words) >= WINDOW and max(map(len, words)) < RUN:
+            saved, n = list(map(self.__getitem__, self.worth(words))), len(words) - WINDOW + STEP
+        else:
+            saved = self.savings(text)
+            n = len(saved)
+        return [*(sum(s >= gap for s in saved) for gap in GAPS), n]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.log1p(counts) @ self.weights[1:], -30, 30)))
