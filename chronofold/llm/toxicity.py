@@ -39,7 +39,9 @@ FOLDS = 4
 MOST_SAMPLES = 100_000
 #: The same search for both dictionaries, thorough enough that neither misses a match that it holds.
 SEARCH = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
-#: Bytes of the shortest match, and bits of the places in the table of the toxic dictionary's runs of so many bytes.
+#: What ends the entropy tables that a trained dictionary begins with: its first three offsets, 1, 4 and 8.
+OFFSETS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
+#: Bytes of the shortest match, and bits of the places in the table of the beginnings, so long, of the toxic dictionary's telling runs.
 GRAM, PLACES = SEARCH["min_match"], 20
 #: Words of a window and between the starts of two; characters of a window of a run without spaces.
 WINDOW, STEP, RUN = 2, 1, 32
@@ -74,15 +76,15 @@ def _beginnings(word: str) -> list[str]:
     return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
 
 
-def _beside(texts: list[str], wanted: set[str] | None = None) -> dict[str, int]:
-    """For each word beginning (of those wanted) the most different words that stand at one of the places around it."""
+def _beside(texts: list[str], wanted: set[str]) -> dict[str, int]:
+    """For each of the wanted word beginnings that occur the most different words that stand at one of the places around it."""
     near: dict[str, tuple[set[str], ...] | None] = {}
     for t in texts:
         words = ["", "", *_words(t), "", ""]
         for k in range(2, len(words) - 2):
             w = words[k]
             if w not in near:
-                near[w] = tuple(set() for _ in AROUND) if wanted is None or any(g in wanted for g in _beginnings(w)) else None
+                near[w] = tuple(set() for _ in AROUND) if any(g in wanted for g in _beginnings(w)) else None
             if near[w] is not None:
                 for place, seen in zip(AROUND, near[w]):
                     seen.add(words[k + place])
@@ -90,38 +92,53 @@ def _beside(texts: list[str], wanted: set[str] | None = None) -> dict[str, int]:
     for w, seen in near.items():
         if seen is not None:
             for g in _beginnings(w):
-                begins[g].append(seen)
+                if g in wanted:
+                    begins[g].append(seen)
     return {g: max(len(set().union(*(seen[k] for seen in all_seen))) for k in range(len(AROUND))) for g, all_seen in begins.items()}
 
 
 def _toxic_beginnings(toxic: list[str], ordinary: list[str]) -> set[str]:
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
     least = max(4, 0.01 * na)
-    a = {g: n for g, n in _beside(toxic).items() if n >= least}
+    often: Counter[str] = Counter()  # no more different words stand beside one than it occurs
+    for w, n in Counter(w for t in toxic for w in _words(t)).items():
+        for g in _beginnings(w):
+            often[g] += n
+    a = {g: n for g, n in _beside(toxic, {g for g, n in often.items() if n >= least}).items() if n >= least}
     b = _beside(ordinary, set(a))
     return {g for g, n in a.items() if n / na >= 8 * max(b.get(g, 0), 0.5) / nb}
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples; of too few for training, the samples themselves."""
+    """The text of a zstandard dictionary of the samples, without its tables; of too few for training, the samples themselves."""
     flat = b"".join(samples)
     if len(samples) >= 100:
         try:
-            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()[-size:]
+            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes().partition(OFFSETS)[2] or flat[-size:]
         except zstandard.ZstdError:
             pass
     return flat[-size:]
 
 
-def _gram_places(data: np.ndarray) -> np.ndarray:
+def _gram_places(data: bytes) -> np.ndarray:
     """A place in a table for each run of ``GRAM`` bytes."""
-    if len(data) < GRAM:
-        return np.zeros(0, dtype=np.uint32)
-    wide = data.astype(np.uint32)
-    code = wide[: len(data) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        code |= wide[k : len(data) - GRAM + 1 + k] << np.uint32(8 * k)
-    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - PLACES)
+    places = np.ndarray(max(0, len(data) - GRAM + 1), dtype="<u4", buffer=data, strides=(1,)) * np.uint32(0x9E3779B1)
+    places >>= np.uint32(32 - PLACES)
+    return places
+
+
+def _telling_runs(toxic: bytes, rest: bytes) -> set[bytes]:
+    """The shortest runs that begin in the toxic dictionary, fit a window and are nowhere in the rest; none begins with another."""
+    data, out = toxic + rest, set()
+    for at in range(len(toxic)):
+        for n in range(GRAM, WINDOW * RUN + 1):
+            run = data[at : at + n]
+            if run.count(b" ") >= WINDOW:
+                break
+            if run not in rest:
+                out.add(run)
+                break
+    return out
 
 
 @dataclass
@@ -143,31 +160,47 @@ class ToxicModel:
 class WindowScorer(dict):
     """Measures the windows of texts with both dictionaries; a window's saving is remembered, as copies repeat theirs.
 
-    A match is ``min_match`` bytes at least, and the toxic dictionary's places are tried after all others. A window that holds no
-    such run of bytes from it is compressed alike by both and saves nothing: only the other windows are measured."""
+    A match is ``min_match`` bytes at least, and the toxic dictionary's places are tried after all others, so that one of them is
+    taken only if it is longer than every other. A window without a run of bytes that only the toxic dictionary holds is
+    therefore compressed alike by both and saves nothing: only the other windows are measured."""
 
     def __init__(self, model: ToxicModel):
         super().__init__()
         ordinary, toxic = model.compressors()
         self.weights, self.ordinary, self.toxic = np.array(model.weights), ordinary.compress, toxic.compress
-        data, n = model.toxic + (model.ordinary + LEAD)[: GRAM - 1], GRAM
-        grams = {data[k : k + n] for k in range(len(data) - n + 1)} if model.toxic else set()
-        # runs that reach into what stands around a window are not looked for, so none of the dictionary's may be one of these
-        edges = tuple(LEAD[-k:] for k in range(1, n)), tuple(LEAD[:k] for k in range(1, n))
-        self.skips = not any(g in LEAD or g.startswith(edges[0]) or g.endswith(edges[1]) for g in grams)
+        # a match must not run on into what stands around a window
+        self.skips = len(model.ordinary) >= WINDOW * RUN and b"\n" not in model.toxic + model.ordinary[: WINDOW * RUN]
+        self.telling, lengths = _telling_runs(model.toxic, model.ordinary + LEAD) if self.skips else set(), defaultdict(set)
         self.places = np.zeros(1 << PLACES, dtype=bool)
-        if grams:
-            self.places[_gram_places(np.frombuffer(b"".join(grams), dtype=np.uint8))[::n]] = True
+        for run in self.telling:
+            lengths[run[:GRAM]].add(len(run))
+            self.places[_gram_places(run[:GRAM])] = True
+        self.lengths = dict(lengths)
+
+    def _tell(self, data: bytes) -> np.ndarray:
+        """Where the telling runs in it start and end."""
+        found = []
+        for at in np.flatnonzero(self.places[_gram_places(data)]).tolist():
+            for n in self.lengths.get(data[at : at + GRAM], ()):
+                if data[at : at + n] in self.telling:
+                    found.append((at, at + n))
+        return np.array(found, dtype=np.int64).reshape(-1, 2)
 
     def worth(self, words: list[bytes]) -> list[bytes]:
-        """The windows of two words, none long, that hold a run of bytes from the toxic dictionary (and a few that may not)."""
-        flat = np.frombuffer(b" ".join(words), dtype=np.uint8)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        seen = np.zeros(len(flat) + 1, dtype=np.int64)
-        np.cumsum(self.places[_gram_places(flat)], out=seen[1 : max(1, len(flat) - GRAM + 2)])
-        last = np.maximum(ends[1:] - GRAM + 1, starts[:-1])
-        return [words[k] + b" " + words[k + 1] for k in np.flatnonzero(seen[last] > seen[starts[:-1]]).tolist()]
+        """The windows of two words, none long, that hold a telling run."""
+        data = b" ".join(words)
+        starts, ends = self._tell(data).T
+        if not len(starts):
+            return []
+        spaces = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+        # the last window that begins at or before the run, and the first one that ends at or after it
+        both = np.union1d(np.searchsorted(spaces, starts), np.searchsorted(spaces, ends) - 1)
+        return [words[k] + b" " + words[k + 1] for k in both.tolist() if 0 <= k < len(words) - 1]
+
+    def worth_of(self, parts: list[bytes]) -> list[bytes]:
+        """The same of any windows."""
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        return [parts[k] for k in np.unique(np.searchsorted(ends, self._tell(b"\n".join(parts))[:, 0], side="right")).tolist()]
 
     def __missing__(self, window: bytes) -> int:
         framed = LEAD + window + LEAD
@@ -184,10 +217,13 @@ class WindowScorer(dict):
         """How many windows save at least each of the gaps, and how many windows there are."""
         words = (text or "").lower().encode("utf-8", "surrogatepass").split()
         if self.skips and len(words) >= WINDOW and max(map(len, words)) < RUN:
-            saved, n = list(map(self.__getitem__, self.worth(words))), len(words) - WINDOW + STEP
+            told, n = self.worth(words), len(words) - WINDOW + STEP
         else:
-            saved = self.savings(text)
-            n = len(saved)
+            told = list(windows(text))
+            n = len(told)
+            if self.skips:
+                told = self.worth_of(told)
+        saved = list(map(self.__getitem__, told))
         return [*(sum(s >= gap for s in saved) for gap in GAPS), n]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
