@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from chronofold.operators import lifecycle
 from chronofold.operators.folds import remember_trace
 from chronofold.streaming.ledger import FactStore, remembered_in_batches
 
@@ -86,3 +87,14 @@ def test_the_query_equals_one_write(spark, made, whole):
     got = remembered_in_batches(spark, None, {"said": _rows(spark, made)}, batches=2).collect()
     assert sorted((r.bank, r.ord, r.status, r.duplicate_of) for r in got) == whole[0]
     assert sorted((r.bank, int(o), r.ord) for r in got for o in r.retired.split(",") if o) == whole[1]
+
+
+def test_a_pair_of_texts_is_judged_once_whatever_the_banks(spark, monkeypatch):
+    judged = []
+    keep = lifecycle.judged_texts
+    monkeypatch.setattr(lifecycle, "judged_texts", lambda statement, features, met: (judged.append(met.distinct().count()), keep(statement, features, met))[1])
+    lines = ["I live in Ghent", "I moved to Turin", "I moved to Turin", " \t", "I live in Ghent"]
+    told = remember_trace(spark, None, {"said": _rows(spark, [(b, k, f"2025-01-{k:02d}", x) for b in range(40) for k, x in enumerate(lines, 1)])}).collect()
+    rows = [("stored", None, ""), ("stored", None, "1"), ("duplicate", 2, ""), ("rejected", None, ""), ("stored", None, "2")]
+    assert len(judged) == 1 and judged[0] <= 4
+    assert sorted((r.bank, r.ord, r.status, r.duplicate_of, r.retired) for r in told) == [(b, k, *x) for b in range(40) for k, x in enumerate(rows, 1)]
