@@ -59,3 +59,21 @@ def test_operators_take_the_callers_rows(spark):
     assert [(r.ord, r.duplicate_of) for r in catalog.apply(spark, "suppress_duplicates", said=said).collect()] == [(3, 2)]
     assert spark.table("events").columns == ["x"] and not [t.name for t in spark.catalog.listTables() if t.name.startswith("chronofold_")]
     spark.catalog.dropTempView("events")
+
+
+def test_components_of_small_banks_make_no_rounds_and_large_ones_do(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = [(b, f"a{x}", f"b{y}") for b in range(25) for x, y in rng.integers(0, 20, (12, 2))] + [(30, f"n{i}", f"n{i + 1}") for i in range(40)] + [(None, "x", "y"), (3, None, "y")]
+    want = {}
+    for bank, a, b in links:
+        if bank is not None and a is not None:
+            one, two = want.get((bank, a), {a}), want.get((bank, b), {b})
+            want.update({(bank, x): one | two for x in one | two})
+    for most, rounds in ((250_000, 0), (30, 1)):
+        made = []
+        keep = graph._by_rounds
+        monkeypatch.setattr(graph, "BANK", most)
+        monkeypatch.setattr(graph, "_by_rounds", lambda rows: (made.append(rows.count()), keep(rows))[1])
+        got = graph.components(spark.createDataFrame(links, "bank long, a string, b string"))
+        assert {(r.bank, r.name): r.component for r in got.collect()} == {key: min(names) for key, names in want.items()} and made == [40] * rounds
+        monkeypatch.undo()
